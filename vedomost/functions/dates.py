@@ -25,8 +25,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-M-d")
+def _fold(c: Column) -> Column:
+    """``fold_compat`` where there is anything to fold."""
+    return F.when(c.rlike(r"^[\x20-\x7E]*$"), c).otherwise(fold_compat(c))
 
 
 def parse_any_date(c: Column) -> Column:
@@ -34,24 +35,27 @@ def parse_any_date(c: Column) -> Column:
 
     Words before and after are allowed; 31.02 is no day; a year or a month alone is none.
     """
-    return let(F.regexp_replace(fold_compat(c), "[‒-―_]", "-"), _parse)
+    return let(F.regexp_replace(_fold(c), "[‒-―_]", "-"), _parse)
 
 
 def _parse(t: Column) -> Column:
-    part = lambda p, i: F.regexp_extract(t, p, i)
+    def day(pattern: str, order: str) -> Column:  # a cast, unlike a date pattern, throws nothing for 31.02
+        return F.regexp_replace(t, "^.*?(?:" + pattern.removeprefix("(?iu)") + ").*$", order).try_cast("date")
+
     month = F.lit(None).cast("string")
-    name = F.lower(part(_WORD, 2))
+    name = F.lower(F.regexp_extract(t, _WORD, 2))
     for k, v in MONTHS.items():
         month = F.when(name == k, F.lit(str(v))).otherwise(month)
-    year2 = part(_DMY2, 3)
+    named = F.concat_ws("-", F.regexp_extract(t, _WORD, 3), month, F.regexp_extract(t, _WORD, 1)).try_cast("date")
     return (
-        F.when(t.rlike(_DMY), _date(part(_DMY, 3), part(_DMY, 2), part(_DMY, 1)))
-        .when(t.rlike(_ISO), _date(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3)))
-        .when(t.rlike(_WORD), _date(part(_WORD, 3), month, part(_WORD, 1)))
-        .when(t.rlike(_DMY2), _date(F.concat(F.lit("20"), year2), part(_DMY2, 2), part(_DMY2, 1)))
+        F.when(~t.rlike(r"\d.*\d"), None)
+        .when(t.rlike(_DMY), day(_DMY, "$3-$2-$1"))
+        .when(t.rlike(_ISO), day(_ISO, "$1-$2-$3"))
+        .when(t.rlike(_WORD), named)
+        .when(t.rlike(_DMY2), day(_DMY2, "20$3-$2-$1"))
     )
 
 
 def blank_to_null(c: Column) -> Column:
     """NULL for text without any visible character."""
-    return F.when(F.trim(F.regexp_replace(fold_compat(c), r"(?U)\s+", " ")) != "", c)
+    return F.when(c.rlike(r"[\x21-\x7E\u0400-\u04FF]") | (F.trim(F.regexp_replace(fold_compat(c), r"(?U)\s+", " ")) != ""), c)
