@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vedomost.llm import canonmap, lookalike, survivor
+from vedomost.llm import canonmap, lookalike, mixture, survivor, tokens
 from vedomost.session import table
 
 
@@ -41,5 +42,24 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _places(spark, d).where("ref_id = -1").groupBy("field", "value").count().withColumnRenamed("count", "n_records")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, d, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    back = tokens.decode_ids(tokens.encode_documents(documents)).withColumnRenamed("text", "decoded")
+    both = documents.select("doc_id", "text").join(back, "doc_id")
+    return both.select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
