@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vedomost.llm import canonmap, lookalike, mixture, survivor, tokens
+from vedomost.llm import canonmap, lookalike, mixture, party, survivor, tokens
 from vedomost.session import table
 
 
@@ -42,6 +42,14 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _places(spark, d).where("ref_id = -1").groupBy("field", "value").count().withColumnRenamed("count", "n_records")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return party.linked_pairs(party.cluster_parties(table(spark, d, "party_names")))
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return party.cluster_parties(table(spark, d, "party_names"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
