@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vedomost.llm import canonmap, lookalike, mixture, party, survivor, tokens
+from vedomost.llm import canonmap, lookalike, mixture, ocrnoise, party, survivor, tokens
 from vedomost.session import table
 
 
@@ -50,6 +50,14 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return party.cluster_parties(table(spark, d, "party_names"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocrnoise.found_noise(table(spark, d, "ocr_lines"))
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocrnoise.paragraphs(table(spark, d, "ocr_lines"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
