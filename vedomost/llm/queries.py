@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vedomost.llm import canonmap, lookalike, mixture, ocrnoise, party, survivor, tokens
+from vedomost.llm import canonmap, lookalike, mixture, ocrnoise, party, sentences, survivor, tokens
 from vedomost.session import table
 
 
@@ -77,5 +77,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_texts(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
