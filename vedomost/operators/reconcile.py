@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vedomost.functions.text import field_key, identities, merge_status, transfer_issue
+from vedomost.functions.text import field_key, identities, merge_status
 from vedomost.operators.merge import day
 from vedomost.schemas import DATE_FIELDS, FIRST_ROW, LABELS, TRANSFER_FIELDS
 
@@ -51,14 +51,11 @@ def register_matches(cells: DataFrame) -> DataFrame:
 
 
 def _compared(field: str) -> Column:
-    """What happens to one field of a matched or new row."""
-    value = F.date_format(day(F.col(field)), "dd.MM.yyyy") if field in DATE_FIELDS else F.col(field)
-    existing = F.when(F.col("row_no").isNotNull(), F.col(f"cells.{field}"))
-    status = F.col("field_quality")[field]["status"]
-    weak = F.coalesce(status != "actionable", F.lit(False))
+    """What happens to one field of a matched or new row, from its prepared columns."""
+    value, existing = F.col(f"_p_{field}"), F.col(f"_e_{field}")
+    weak = F.coalesce(F.col("field_quality")[field]["status"] != "actionable", F.lit(False))
     empty = existing.isNull()
-    shown = F.trim(existing)
-    differs = ~empty & (field_key(field, existing) != field_key(field, value))
+    differs = ~empty & (F.col(f"_ek_{field}") != F.col(f"_pk_{field}"))
     action = (
         F.when(value.isNull(), "skip")
         .when(weak & empty, "weak")
@@ -68,9 +65,17 @@ def _compared(field: str) -> Column:
         .when(differs, "conflict")
         .otherwise("equal")
     )
-    weak_issue = F.lit(f"Не перенесено «{LABELS[field]}»: значение PDF требует ручной сверки.")
-    issue = F.when(action.isin("weak", "weak_conflict"), weak_issue).when(action == "conflict", transfer_issue(field, shown, value))
-    return F.struct(F.lit(field).alias("field"), shown.alias("existing"), value.alias("proposed"), action.alias("action"), issue.alias("issue"), F.col("field_quality")[field]["status"].alias("quality"))
+    return F.struct(F.lit(field).alias("field"), F.trim(existing).alias("existing"), value.alias("proposed"), action.alias("action"), F.col("field_quality")[field]["status"].alias("quality"))
+
+
+def _issue(x: Column) -> Column:
+    """The issue of a compared field; NULL if it has none."""
+    label = F.lit(None).cast("string")
+    for f in TRANSFER_FIELDS:
+        label = F.when(x.field == f, LABELS[f]).otherwise(label)
+    different = F.concat(F.lit("Не перенесено «"), label, F.lit("»: в Excel — «"), x.existing, F.lit("», в PDF — «"), x.proposed, F.lit("»; значение Excel сохранено."))
+    weak = F.concat(F.lit("Не перенесено «"), label, F.lit("»: значение PDF требует ручной сверки."))
+    return F.when(x.action.isin("weak", "weak_conflict"), weak).when(x.action == "conflict", different)
 
 
 def reconcile(merged: DataFrame, register: DataFrame) -> DataFrame:
@@ -78,7 +83,7 @@ def reconcile(merged: DataFrame, register: DataFrame) -> DataFrame:
 
     Outcomes: ``review_conflict`` (several rows, a cell with several numbers, or amendments without a row), ``review``,
     ``added``, ``updated``, ``already_present``. Result: number, row_no, new, outcome, fields (array of field, existing,
-    proposed, action, issue, quality), written, issues, status, old_status, filename, pdf, end, object, merge_issues, existing_only,
+    proposed, action, quality), written, issues, status, old_status, filename, pdf, end, object, merge_issues, existing_only,
     n_matches, physical_mutation. ``register`` comes from ``register_cells``; an empty one makes every record new. NULL numbers
     match nothing. New rows have no row_no yet (see ``assign_rows``).
     """
@@ -88,13 +93,17 @@ def reconcile(merged: DataFrame, register: DataFrame) -> DataFrame:
     several = (n_exact > 1) | (n_amb > 0)
     no_row = F.col("existing_only") & (n_exact == 0)
     j = j.withColumns({"several": several, "no_row": ~several & no_row, "row_no": F.when(~several & (n_exact == 1), F.col("cells.row_no"))})
-    values = [F.date_format(day(F.col(f)), "dd.MM.yyyy") if f in DATE_FIELDS else F.col(f) for f in TRANSFER_FIELDS]
-    bare = F.coalesce(*[F.col(f) for f in TRANSFER_FIELDS]).isNull() if values else F.lit(True)
+    # values and keys as columns of their own: each is computed once, and the comparison stays a small expression
+    j = j.withColumns({f"_p_{f}": F.date_format(day(F.col(f)), "dd.MM.yyyy") if f in DATE_FIELDS else F.col(f) for f in TRANSFER_FIELDS})
+    j = j.withColumns({f"_e_{f}": F.when(F.col("row_no").isNotNull(), F.col(f"cells.{f}")) for f in TRANSFER_FIELDS})
+    keyed = lambda f, side: F.col(f"_{side}_{f}") if f in DATE_FIELDS else field_key(f, F.col(f"_{side}_{f}"))
+    j = j.withColumns({f"_{side}k_{f}": keyed(f, side) for f in TRANSFER_FIELDS for side in ("p", "e")})
+    bare = F.coalesce(*[F.col(f"_p_{f}") for f in TRANSFER_FIELDS]).isNull()
     blocked = F.col("several") | F.col("no_row")
     j = j.withColumns({"blocked": blocked, "bare": ~blocked & bare})
     j = j.withColumns({"new": ~F.col("blocked") & ~F.col("bare") & F.col("row_no").isNull(), "fields": F.when(~F.col("blocked") & ~F.col("bare"), F.array(*[_compared(f) for f in TRANSFER_FIELDS]))})
     said = F.transform("merge_issues", lambda i: i.message)
-    field_issues = F.transform(F.filter("fields", lambda x: x.issue.isNotNull()), lambda x: x.issue)
+    field_issues = F.filter(F.transform("fields", _issue), lambda x: x.isNotNull())
     issues = (
         F.when(F.col("several"), F.array(F.lit(SEVERAL_ROWS)))
         .when(F.col("no_row"), F.array(F.lit(NO_ROW)))

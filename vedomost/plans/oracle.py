@@ -127,7 +127,7 @@ def _p1() -> str:
     """The differences by plain comparison of both sides, without unpivoting."""
     fold = lambda x: nfkc_fold(x)
     dashed = lambda x: f"regexp_replace({fold(x)}, '[‒-―]', '-', 'g')"
-    number = r"(?:^|[^0-9A-Za-zА-Яа-яЁё_]|[UuУу])(\d+(?:[\s_.-]+\d+){2,})(?:$|[^0-9A-Za-zА-Яа-яЁё_])"
+    number = r"(?:^|[^0-9A-Za-zА-Яа-яЁё]|[UuУу])(\d+(?:[\s_.-]+\d+){2,})(?:$|[^0-9A-Za-zА-Яа-яЁё])"
     cyr = LATIN_AS_CYRILLIC | GREEK_AS_CYRILLIC
     rest = lambda x: rf"nullif(trim(regexp_replace(lower({translated(dashed(x), cyr)}), '[^0-9a-zа-яё]+', ' ', 'g')), '')"
     num = lambda x: f"CASE WHEN regexp_extract({translated(dashed(x), LETTERS_AS_DIGITS)}, {q(number)}, 1) <> '' THEN regexp_replace(regexp_extract({translated(dashed(x), LETTERS_AS_DIGITS)}, {q(number)}, 1), '[\\s_.-]+', '-', 'g') ELSE {rest(x)} END"
@@ -193,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT doc_id, len(ok)::BIGINT AS n_valid, len(ok) < len(d) AS any_invalid, strftime(list_max(list_transform(ok, lambda x: try_strptime(x, '%d.%m.%Y'))), '%d.%m.%Y') AS latest FROM v""",
         "add_months": f"SELECT DISTINCT rec_id, strftime({day('issue')} + INTERVAL 13 MONTH, '%d.%m.%Y') AS later FROM rns_records WHERE {day('issue')} IS NOT NULL",
         "field_quality": "SELECT field, q.status, q.reason, count(*) AS n, round(min(q.confidence), 1) AS least FROM (SELECT unnest(map_keys(field_quality)) AS field, unnest(map_values(field_quality)) AS q FROM rns_records WHERE field_quality IS NOT NULL) GROUP BY ALL",
-        "redact_paths": r"SELECT DISTINCT rec_id, regexp_extract(pdf, '([^/]+)$', 1) AS pdf, 'cannot open [локальный путь], skipped' AS error FROM rns_records",
+        "redact_paths": r"SELECT DISTINCT rec_id, regexp_extract(pdf, '([^/]+)$', 1) AS pdf, 'cannot open ''[локальный путь]'', skipped' AS error FROM rns_records",
         "file_manifest": "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1",
         "trace_summary": "SELECT sum(n)::BIGINT AS documents, sum(bad)::BIGINT AS failed, string_agg(route || '=' || n, ',' ORDER BY route) AS routes, sum(n)::BIGINT AS total_pages, sum(ms)::BIGINT AS total_ms FROM (SELECT event_type AS route, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, sum(floor(value))::BIGINT AS ms FROM events GROUP BY 1)",
         "history_validate": "SELECT user_id, count(*) AS n_items, bool_and(coalesce(try_cast(json_extract_string(props, '$.k') AS INT) >= 4 AND value >= 0, FALSE)) AS accepted FROM events GROUP BY 1",

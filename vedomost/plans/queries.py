@@ -158,7 +158,7 @@ def field_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redact_paths(spark: SparkSession, d: str) -> DataFrame:
-    r = records(spark, d).select("rec_id", "pdf", F.concat(F.lit("cannot open "), "pdf", F.lit(", skipped")).alias("error"))
+    r = records(spark, d).select("rec_id", "pdf", F.concat(F.lit("cannot open '"), "pdf", F.lit("', skipped")).alias("error"))
     return r.select("rec_id", redact.redact_value(F.col("pdf")).alias("pdf"), redact.redact_value(F.col("error"), True).alias("error")).distinct()
 
 

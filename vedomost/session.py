@@ -20,6 +20,7 @@ def build_session(app: str = "vedomost", cpus: str = "*", **conf: str) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of every column cost seconds on wide plans
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
