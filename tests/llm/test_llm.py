@@ -99,3 +99,22 @@ def test_sentences():
     assert units("区县有误。答复：“齐全。可以。”请核对！") == ["区县有误。", "答复：“齐全。可以。”", "请核对！"]
     assert units("Геодезическая разбивка распределительного устройства\nвыполнена. Да.") == ["Геодезическая разбивка распределительного устройства\nвыполнена.", "Да."]
     assert units(" ​\n") == [] and units("") == []
+
+
+def scan_lines(spark, texts):
+    words = [[(t, 100 + 50 * k, 500, 40, 20, 0.9) for k, t in enumerate(line.split())] for line in texts]
+    rows = [(i, 1, i // 40, i % 40, 1000, 1000, w) for i, w in enumerate(words)]
+    return spark.createDataFrame(rows + rows[:1], "line_id long, scan_id long, page int, line_no int, page_width int, page_height int, words array<struct<text:string,left:int,top:int,width:int,height:int,confidence:double>>")
+
+
+def misread(spark, texts):
+    return {(r.line_id, r.word_no) for r in ocrnoise.found_noise(scan_lines(spark, texts)).where("kind = 'misread'").collect()}
+
+
+def test_words_at_line_starts_are_in_the_lexicon(spark):
+    texts = [f"Протокол {i}." for i in range(9)] + ["Протонол 10.", "Акт о протоко-", "ле дня."]
+    assert misread(spark, texts) == {(9, 1)}
+    body = ocrnoise.body_lines(scan_lines(spark, texts)).where("filled AND NOT furniture")
+    split = ocrnoise.divided_words(body, ocrnoise.place_counts(body))
+    counts = {r.w: r.n for r in ocrnoise.lexicon(body, split)[0].collect()}
+    assert counts["протокол"] == 9 and not {"протоко", "ле"} & counts.keys() and counts["акт"] == 1

@@ -100,13 +100,33 @@ def body_lines(lines: DataFrame) -> DataFrame:
     return lines.select("line_id", "scan_id", "page", "line_no", "page_width", "words", (filled & ((low < height * TOP_MARGIN) | (top > height * BOTTOM_MARGIN))).alias("furniture"), filled.alias("filled"))
 
 
-def lexicon(body: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word counts, bigram counts) over the inner words of all lines; line ends hold pieces of divided words."""
-    texts = body.select(F.filter(F.transform(F.slice("words", 2, 1 << 20), lambda w: w.text), lambda t: t.isNotNull()).alias("t")).where(F.size("t") > 1)
-    texts = texts.select(F.transform(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), lambda t: _plain(word_of(t))).alias("w"))
+def place_counts(body: DataFrame) -> DataFrame:
+    """``(w, n, n_a, n_b)``: all occurrences of each word, those before a line's last word and those after its first; each line_id counts once.
+
+    A first piece of a divided word stands last in its line and a second piece first, so ``n_a`` and ``n_b`` tell how often they are words.
+    """
+    ws = F.filter(F.transform("words", lambda w: _plain(word_of(w.text))), lambda w: w != "")
+    texts = body.select("line_id", ws.alias("ws")).dropDuplicates(["line_id"])
+    each = texts.select(F.size("ws").alias("size"), F.posexplode("ws").alias("i", "w"))
+    return each.groupBy("w").agg(F.count("*").alias("n"), F.count_if(F.col("i") < F.col("size") - 1).alias("n_a"), F.count_if(F.col("i") > 0).alias("n_b"))
+
+
+def lexicon(body: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word counts, bigram counts) over all words of all lines, each line_id once, without the pieces of divided words."""
+    ends = split.groupBy("line_id").agg(F.max("word_no").alias("end_no"))
+    after = split.select(F.col("next_line_id").alias("line_id"), F.lit(True).alias("goes_on")).distinct()
+    full = body.select("line_id", F.transform("words", lambda w: w.text).alias("t")).dropDuplicates(["line_id"]).join(ends, "line_id", "left").join(after, "line_id", "left")
+    size = F.size("t")
+
+    def whole(x: Column, i: Column) -> Column:
+        piece = (F.coalesce("goes_on", F.lit(False)) & (i == 0)) | (i + 1 == F.coalesce("end_no", F.lit(0)))
+        open_end = (i == size - 1) & x.rlike(rf"[^{MARKS}][{MARKS}]$")  # a compound goes on
+        return F.when(~piece & ~open_end, _plain(word_of(x)))
+
+    texts = full.select(F.transform("t", whole).alias("w"))
     counts = texts.select(F.explode("w").alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at("w", i), F.try_element_at("w", i + 1)))
-    bigrams = texts.where(F.size("w") > 1).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat(F.try_element_at("w", i), F.lit(" "), F.try_element_at("w", i + 1)))
+    bigrams = texts.where(F.size("w") > 1).select(F.explode(pairs).alias("pair")).where("pair IS NOT NULL").groupBy("pair").agg(F.count("*").alias("n"))
     return counts, bigrams.where("n > 1")
 
 
@@ -159,7 +179,7 @@ def _pieces(body: DataFrame) -> DataFrame:
 
 
 def divided_words(body: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(line_id, word_no, next_line_id, first, second, joined)`` of words that go on in the next body line."""
+    """``(line_id, word_no, next_line_id, first, second, joined)`` of words that go on in the next body line, by the counts of ``place_counts``."""
     p = _pieces(body)
     mark = F.col("last").rlike(rf"[{MARKS}]$")
     stem = F.regexp_replace("last", rf"[{MARKS}]+$", "")
@@ -168,10 +188,10 @@ def divided_words(body: DataFrame, counts: DataFrame) -> DataFrame:
     p = p.where(F.col("a").rlike(rf"^[{_CYR}(-]*[{_CYR}]$") & F.col("follow").rlike(rf"^[{_CYR}]"))
     p = p.withColumns({"joined": F.concat("a", "b"), "linked": F.concat_ws("-", "a", "b")})
 
-    def look(df: DataFrame, column: str) -> DataFrame:
-        return df.join(counts.select(F.col("w").alias(column), F.col("n").alias(f"n_{column}")), column, "left").fillna(0, [f"n_{column}"])
+    def look(df: DataFrame, column: str, n: str) -> DataFrame:
+        return df.join(counts.select(F.col("w").alias(column), F.col(n).alias(f"n_{column}")), column, "left").fillna(0, [f"n_{column}"])
 
-    p = look(look(look(look(p, "joined"), "linked"), "a"), "b")
+    p = look(look(look(look(p, "joined", "n"), "linked", "n"), "a", "n_a"), "b", "n_b")
     marked = F.col("mark") & (
         ~F.col("hyphen")
         | (F.col("n_joined") > F.col("n_linked"))
@@ -215,8 +235,8 @@ def scan_noise(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     """(body lines with furniture flags, divided words, misread words, word counts) of scanned lines."""
     flagged = body_lines(lines)
     body = flagged.where("filled AND NOT furniture")
-    counts, bigrams = lexicon(body)
-    split = divided_words(body, counts)
+    split = divided_words(body, place_counts(body))
+    counts, bigrams = lexicon(body, split)
     return flagged, split, misread_words(body, counts, bigrams, split), counts
 
 
