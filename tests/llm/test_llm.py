@@ -118,3 +118,9 @@ def test_words_at_line_starts_are_in_the_lexicon(spark):
     split = ocrnoise.divided_words(body, ocrnoise.place_counts(body))
     counts = {r.w: r.n for r in ocrnoise.lexicon(body, split)[0].collect()}
     assert counts["протокол"] == 9 and not {"протоко", "ле"} & counts.keys() and counts["акт"] == 1
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_misreadings_are_certain_at_every_size(spark, times):
+    texts = ["Протокол 1."] * 16 * times + ["Протонол 10."] * times
+    assert misread(spark, texts) == {(i, 1) for i in range(16 * times, 17 * times)}

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vedomost.session import cut_lineage
+
 # What recognition writes, and the printed letters it may stand for.
 CONFUSED = {"0": "о", "с": "ое", "п": "нлцк", "и": "нвмйкп", "e": "ес", "€": "е", "a": "ая", "@": "а", "я": "а", "p": "р", "ф": "р", "m": "т", "г": "т", "н": "икп", "n": "ип", "й": "ин", "c": "с", "е": "со", "(": "с", "д": "л", "k": "к", "8": "в", "л": "пдн", "g": "д", "v": "у", "y": "у", "3": "зэ", "э": "з", "r": "яг", "4": "ч", "т": "г", "*": "ж", "6": "б", "щ": "ш", "ш": "щ", "o": "о", "x": "х", "b": "в", "h": "н", "t": "т", "u": "и", "о": "с", "в": "8", "з": "э", "1": "л", "l": "л"}
 # Two signs for one letter.
@@ -27,7 +29,7 @@ NOISE = "`'.|"
 MARKS = "-¬­‐‑–"
 TOP_MARGIN, BOTTOM_MARGIN = 0.065, 0.91
 _OUTER = "«»\"“”„.,;:!?)…—|"
-RATIO, SURE_RATIO, RARE = 2, 8, 3
+RATIO, SURE_RATIO = 2, 8
 _CYR = "а-яё"
 
 
@@ -212,7 +214,7 @@ def misread_words(body: DataFrame, counts: DataFrame, bigrams: DataFrame, split:
     seen = each.groupBy("w").agg(F.count("*").alias("n_all")).where("w <> '' AND w <> '#'").join(counts, "w", "left").select("w", F.coalesce("n", F.lit(1)).alias("n"))
     pairs = candidates(seen)
     best = pairs.groupBy("w").agg(F.max_by(F.struct("c", "n", "n_c", "cost"), F.struct(F.log("n_c") - 3 * F.col("cost"), F.col("n_c"), F.col("c"))).alias("b")).select("w", "b.*")
-    sure = best.withColumn("sure", (F.col("n_c") >= SURE_RATIO * F.col("n")) & (F.col("n") <= RARE) & ((F.length("w") > 3) | F.col("w").rlike(r"[^а-яё]")))
+    sure = cut_lineage(best).withColumn("sure", (F.col("n_c") >= SURE_RATIO * F.col("n")) & ((F.length("w") > 3) | F.col("w").rlike(r"[^а-яё]")))
     marked = each.withColumn("odd", impossible(F.col("text")))
     hits = marked.join(sure.select("w", "c", "sure"), "w", "left").where("odd OR c IS NOT NULL").where(~F.col("text").rlike(r"^[«(]?(?:[А-ЯЁ]\.){1,3}[,;]?$"))
     certain = hits.where(F.col("odd") | F.col("sure")).select("line_id", "word_no", "w", F.col("c").alias("repair"))
@@ -235,7 +237,7 @@ def scan_noise(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     """(body lines with furniture flags, divided words, misread words, word counts) of scanned lines."""
     flagged = body_lines(lines)
     body = flagged.where("filled AND NOT furniture")
-    split = divided_words(body, place_counts(body))
+    split = cut_lineage(divided_words(body, place_counts(body)))
     counts, bigrams = lexicon(body, split)
     return flagged, split, misread_words(body, counts, bigrams, split), counts
 
