@@ -124,3 +124,9 @@ def test_words_at_line_starts_are_in_the_lexicon(spark):
 def test_misreadings_are_certain_at_every_size(spark, times):
     texts = ["Протокол 1."] * 16 * times + ["Протонол 10."] * times
     assert misread(spark, texts) == {(i, 1) for i in range(16 * times, 17 * times)}
+
+
+def test_edits_that_are_no_confusion(spark):
+    assert ocrnoise.misreading_cost("несяцев", "месяцев") == ocrnoise.misreading_cost("месяев", "месяцев") == ocrnoise.OTHER_EDIT
+    texts = ["срок восемь месяцев подряд 1."] * 20 + ["срок восемь несяцев подряд 2.", "срок восемь месяев подряд 3.", "срок восемь месяца назад 4."] + ["новый офис-центр построен 5."] * 20 + ["новый офис-пентр построен 6."]
+    assert misread(spark, texts) == {(20, 3), (21, 3), (43, 2)}

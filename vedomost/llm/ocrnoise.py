@@ -30,6 +30,8 @@ MARKS = "-¬­‐‑–"
 TOP_MARGIN, BOTTOM_MARGIN = 0.065, 0.91
 _OUTER = "«»\"“”„.,;:!?)…—|"
 RATIO, SURE_RATIO = 2, 8
+# The weight of an edit that is no confusion, above that of any confusions, and the letters a word needs for one.
+OTHER_EDIT, LONG = 8.0, 6
 _CYR = "а-яё"
 
 
@@ -59,22 +61,37 @@ def skeleton(word: str) -> str:
 
 
 def misreading_cost(seen: str, printed: str) -> float | None:
-    """The cost of reading ``printed`` as ``seen`` by confusions alone; None if that cannot be."""
+    """The cost of reading ``printed`` as ``seen`` by confusions and at most one other edit of a letter; None if that cannot be."""
     for pair, letter in JOINED:
         if letter in printed:
             seen = seen.replace(pair, letter)
-    if len(seen) != len(printed):
+    n, m = len(seen), len(printed)
+    if abs(n - m) > 1:
         return None
-    cost = 0.0
-    for a, b in zip(seen, printed):
-        if a != b:
-            if b in CONFUSED.get(a, ""):
-                cost += 1.0
+
+    def confusions(pairs: Iterator[tuple[str, str]]) -> list[float]:
+        """The cost after each pair, as far as confusions alone go."""
+        costs = [0.0]
+        for a, b in pairs:
+            if a == b:
+                costs.append(costs[-1])
+            elif b in CONFUSED.get(a, ""):
+                costs.append(costs[-1] + 1.0)
             elif a in NOISE:
-                cost += 1.5
+                costs.append(costs[-1] + 1.5)
             else:
-                return None
-    return cost
+                break
+        return costs
+
+    head = confusions(zip(seen, printed))
+    if n == m and len(head) > n:
+        return head[n]
+    if min(n, m) < LONG - 1 or max(n, m) < LONG:
+        return None
+    tail = confusions(zip(reversed(seen), reversed(printed)))
+    skip_seen, skip_printed = int(n >= m), int(m >= n)
+    rests = ((i, n - i - skip_seen) for i in range(len(head)) if i + skip_seen <= n and i + skip_printed <= m)
+    return min((head[i] + OTHER_EDIT + tail[k] for i, k in rests if k < len(tail)), default=None)
 
 
 def word_of(text: Column) -> Column:
@@ -145,22 +162,21 @@ def candidates(counts: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.Series([list(dict.fromkeys([s, *(s[:i] + s[i + 1 :] for i in range(len(s)))])) for s in map(skeleton, b.array)], dtype="object")
 
-    @F.pandas_udf("string")
-    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series([skeleton(w) for w in b.array], dtype="object")
-
     @F.pandas_udf("double")
     def cost(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([misreading_cost(x, y) for x, y in zip(a.array, b.array)], dtype="float64")
 
-    known = counts.where((F.col("n") >= 3) & F.col("w").rlike(f"^[{_CYR}]+$")).select(F.col("w").alias("c"), F.col("n").alias("n_c"))
-    # a key with a letter left out serves words in which a letter became noise
-    index = known.withColumn("key", F.explode(index_keys("c"))).withColumn("short", F.length("key"))
-    asked = counts.where(F.col("w").rlike(rf"^[{_CYR}A-Za-z0-9€@*(`'.|-]+$") & F.col("w").rlike(rf"[{_CYR}A-Za-z]")).withColumn("key", key("w")).withColumn("noisy", F.col("w").rlike(rf"[`'.|]|rn|bl|ьi|ii|эк|10"))
-    pairs = asked.join(index, "key").where((F.col("n_c") >= RATIO * F.col("n")) & (F.col("w") != F.col("c")) & (F.col("noisy") | (F.length("w") == F.length("c"))))
-    return pairs.select("w", "c", "n", "n_c", cost("w", "c").alias("cost")).where("cost IS NOT NULL AND NOT isnan(cost)")
+    known = counts.where((F.col("n") >= 3) & F.col("w").rlike(f"^(?:[{_CYR}]+(?:-[{_CYR}]+)*|[a-z]+(?:-[a-z]+)*)$")).select(F.col("w").alias("c"), F.col("n").alias("n_c"))
+    # a key with a letter left out serves words in which a letter became noise; on both sides, words with another edit
+    index = known.withColumn("key", F.explode(index_keys("c")))
+    asked = counts.where(F.col("w").rlike(rf"^[{_CYR}A-Za-z0-9€@*(`'.|-]+$") & F.col("w").rlike(rf"[{_CYR}A-Za-z]")).withColumn("keys", index_keys("w")).withColumn("noisy", F.col("w").rlike(rf"[`'.|]|rn|bl|ьi|ii|эк|10"))
+    asked = asked.select("w", "n", "noisy", F.element_at("keys", 1).alias("whole"), F.explode(F.when(F.length("w") >= LONG - 1, F.col("keys")).otherwise(F.slice("keys", 1, 1))).alias("key"))
+    far = (F.col("n_c") >= SURE_RATIO * F.col("n")) & (F.abs(F.length("w") - F.length("c")) <= F.when(F.col("noisy"), 3).otherwise(1))
+    near = (F.col("key") == F.col("whole")) & (F.col("noisy") | (F.length("w") == F.length("c")))
+    pairs = asked.join(index, "key").where((F.col("n_c") >= RATIO * F.col("n")) & (F.col("w") != F.col("c")) & (near | far)).select("w", "c", "n", "n_c").distinct()
+    costed = pairs.withColumn("cost", cost("w", "c")).where("cost IS NOT NULL AND NOT isnan(cost)")
+    return costed.where((F.col("cost") < OTHER_EDIT) | ((F.col("cost") < OTHER_EDIT + 2) & (F.col("n_c") >= SURE_RATIO * F.col("n"))))
 
 
 def _pieces(body: DataFrame) -> DataFrame:
@@ -214,20 +230,21 @@ def misread_words(body: DataFrame, counts: DataFrame, bigrams: DataFrame, split:
     seen = each.groupBy("w").agg(F.count("*").alias("n_all")).where("w <> '' AND w <> '#'").join(counts, "w", "left").select("w", F.coalesce("n", F.lit(1)).alias("n"))
     pairs = candidates(seen)
     best = pairs.groupBy("w").agg(F.max_by(F.struct("c", "n", "n_c", "cost"), F.struct(F.log("n_c") - 3 * F.col("cost"), F.col("n_c"), F.col("c"))).alias("b")).select("w", "b.*")
-    sure = cut_lineage(best).withColumn("sure", (F.col("n_c") >= SURE_RATIO * F.col("n")) & ((F.length("w") > 3) | F.col("w").rlike(r"[^а-яё]")))
+    sure = cut_lineage(best).withColumn("sure", (F.col("n_c") >= SURE_RATIO * F.col("n")) & (F.col("cost") < OTHER_EDIT) & ((F.length("w") > 3) | F.col("w").rlike(r"[^а-яё]")))
     marked = each.withColumn("odd", impossible(F.col("text")))
-    hits = marked.join(sure.select("w", "c", "sure"), "w", "left").where("odd OR c IS NOT NULL").where(~F.col("text").rlike(r"^[«(]?(?:[А-ЯЁ]\.){1,3}[,;]?$"))
+    hits = marked.join(sure.select("w", "c", "cost", "sure"), "w", "left").where("odd OR c IS NOT NULL").where(~F.col("text").rlike(r"^[«(]?(?:[А-ЯЁ]\.){1,3}[,;]?$"))
     certain = hits.where(F.col("odd") | F.col("sure")).select("line_id", "word_no", "w", F.col("c").alias("repair"))
-    asked = hits.where("NOT odd AND NOT sure").select("line_id", "word_no", "w", "c", "before", "after")
-    context = asked.select("w", "c", "before", "after").distinct()
+    asked = hits.where("NOT odd AND NOT sure").select("line_id", "word_no", "w", "c", "cost", "before", "after")
+    context = asked.select("w", "c", "cost", "before", "after").distinct()
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.concat_ws(" ", x, y).alias("pair")) for k, x, y in (("bw", "before", "w"), ("bc", "before", "c"), ("wa", "w", "after"), ("ca", "c", "after"))])
-    got = context.select("*", F.explode(keys).alias("q")).select("w", "c", "before", "after", "q.k", "q.pair").join(bigrams, "pair", "left")
+    got = context.select("*", F.explode(keys).alias("q")).select("w", "c", "cost", "before", "after", "q.k", "q.pair").join(bigrams, "pair", "left")
     one = lambda k: F.max(F.when(F.col("k") == k, F.coalesce("n", F.lit(0)))).alias(k)
-    weighed = got.groupBy("w", "c", "before", "after").agg(one("bw"), one("bc"), one("wa"), one("ca"))
+    weighed = got.groupBy("w", "c", "cost", "before", "after").agg(one("bw"), one("bc"), one("wa"), one("ca"))
     left = (F.col("before") != "") & (F.col("bc") >= SURE_RATIO * F.greatest("bw", F.lit(1)))
     right = (F.col("after") != "") & (F.col("ca") >= SURE_RATIO * F.greatest("wa", F.lit(1)))
     against = ((F.col("before") != "") & (F.col("bw") > F.col("bc"))) | ((F.col("after") != "") & (F.col("wa") > F.col("ca")))
-    told = weighed.where((left | right) & ~against).select("w", "c", "before", "after")
+    all_sides = ((F.col("before") == "") | left) & ((F.col("after") == "") | right)  # an edit that is no confusion needs every neighbour
+    told = weighed.where((left | right) & ~against & ((F.col("cost") < OTHER_EDIT) | all_sides)).select("w", "c", "before", "after")
     by_context = asked.join(told, ["w", "c", "before", "after"]).select("line_id", "word_no", "w", F.col("c").alias("repair"))
     pieces = split.select("line_id", "word_no").union(split.select(F.col("next_line_id").alias("line_id"), F.lit(1).alias("word_no"))).distinct()
     return certain.unionByName(by_context).distinct().join(pieces, ["line_id", "word_no"], "left_anti")
