@@ -130,3 +130,10 @@ def test_edits_that_are_no_confusion(spark):
     assert ocrnoise.misreading_cost("несяцев", "месяцев") == ocrnoise.misreading_cost("месяев", "месяцев") == ocrnoise.OTHER_EDIT
     texts = ["срок восемь месяцев подряд 1."] * 20 + ["срок восемь несяцев подряд 2.", "срок восемь месяев подряд 3.", "срок восемь месяца назад 4."] + ["новый офис-центр построен 5."] * 20 + ["новый офис-пентр построен 6."]
     assert misread(spark, texts) == {(20, 3), (21, 3), (43, 2)}
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_divisions_are_judged_alike_at_every_size(spark, times):
+    texts = ["Акт наблю-", "дения здесь."] * times + ["тут наблю дения там"] * times + ["весь протокол готов"] * 100 * times + ["часть прото кол пуста"] * times * 3 + ["Здесь прото", "кол верен."]
+    found = ocrnoise.found_noise(scan_lines(spark, texts)).where("kind = 'split'")
+    assert {r.line_id for r in found.collect()} == {*range(0, 2 * times, 2), len(texts) - 2}

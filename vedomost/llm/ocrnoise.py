@@ -207,16 +207,17 @@ def divided_words(body: DataFrame, counts: DataFrame) -> DataFrame:
     p = p.withColumns({"joined": F.concat("a", "b"), "linked": F.concat_ws("-", "a", "b")})
 
     def look(df: DataFrame, column: str, n: str) -> DataFrame:
-        return df.join(counts.select(F.col("w").alias(column), F.col(n).alias(f"n_{column}")), column, "left").fillna(0, [f"n_{column}"])
+        return df.join(counts.select(F.col("w").alias(column), F.col(n).alias(f"n_{column}"), F.col("n").alias(f"all_{column}")), column, "left").fillna(0, [f"n_{column}", f"all_{column}"])
 
     p = look(look(look(look(p, "joined", "n"), "linked", "n"), "a", "n_a"), "b", "n_b")
+    own_word = lambda x: F.col(f"n_{x}") > 2 * F.greatest(F.col(f"all_{x}") - F.col(f"n_{x}"), F.lit(1))  # noqa: E731  # mostly where it can be no piece
     marked = F.col("mark") & (
         ~F.col("hyphen")
         | (F.col("n_joined") > F.col("n_linked"))
-        | ((F.col("n_linked") == 0) & (F.col("n_joined") == 0) & (~F.col("apart") | (F.col("n_a") == 0)) & ~((F.col("n_a") > 2) & (F.col("n_b") > 2)))
+        | ((F.col("n_linked") == 0) & (F.col("n_joined") == 0) & (~F.col("apart") | (F.col("n_a") == 0)) & ~(own_word("a") & own_word("b")))
     )
     flush = (F.col("next.left") - F.col("next_margin")) < 30
-    unmarked = ~F.col("mark") & ~F.col("closed") & flush & (F.col("n_joined") >= 2) & (F.least("n_a", "n_b") * 20 <= F.col("n_joined")) & (F.least("n_a", "n_b") <= 2)
+    unmarked = ~F.col("mark") & ~F.col("closed") & flush & (F.col("n_joined") >= 2) & (F.least("n_a", "n_b") * 20 <= F.col("n_joined"))
     return p.where(marked | unmarked).select("line_id", F.col("last_no").alias("word_no"), F.col("next.line_id").alias("next_line_id"), F.col("a").alias("first"), F.col("b").alias("second"), "joined").distinct()
 
 
