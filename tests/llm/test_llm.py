@@ -137,3 +137,10 @@ def test_divisions_are_judged_alike_at_every_size(spark, times):
     texts = ["Акт наблю-", "дения здесь."] * times + ["тут наблю дения там"] * times + ["весь протокол готов"] * 100 * times + ["часть прото кол пуста"] * times * 3 + ["Здесь прото", "кол верен."]
     found = ocrnoise.found_noise(scan_lines(spark, texts)).where("kind = 'split'")
     assert {r.line_id for r in found.collect()} == {*range(0, 2 * times, 2), len(texts) - 2}
+
+
+def test_short_texts_are_streamed(monkeypatch):
+    e, asked = tokens.StreamingEncoder(), []
+    whole = e.stream
+    monkeypatch.setattr(e, "stream", lambda blocks: asked.append(1) or whole(blocks))
+    assert e.encode("Акт № 5") and e.encode("") == [] and len(asked) == 2

@@ -144,14 +144,8 @@ class StreamingEncoder:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text; of a text over one block, block by block."""
-        if len(text) > self.block:
-            return [i for part in self.stream(text[j : j + self.block] for j in range(0, len(text), self.block)) for i in part]
-        out: list[int] = []
-        word = self.word
-        for piece in self.pattern.findall(text):
-            out += word(piece)
-        return out
+        """The ids of a text, block by block."""
+        return [i for part in self.stream(text[j : j + self.block] for j in range(0, len(text), self.block)) for i in part]
 
     def stream(self, blocks: Iterable[str]) -> Iterator[list[int]]:
         """Yields final ids as blocks arrive."""
