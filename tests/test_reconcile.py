@@ -53,6 +53,29 @@ def test_outcomes(spark):
     assert fixed.builder == "ООО В" and fixed.status is None
 
 
+def test_manual_edit_keeps_the_link_and_marks_the_row(spark):
+    reg = rc.register_cells(spark.createDataFrame([row(4, N, builder="ООО А", stage="1", link="a.pdf", status="Не перенесено «Застройщик»: x\nзаметка"), row(5, N, status="s")], REGISTER))
+    edits = spark.createDataFrame([(4, "builder", "ООО Б"), (4, "stage", None), (9, "stage", "z"), (4, "nothing", "z")], "row_no int, field string, value string")
+    got = {r.row_no: r for r in rc.edit_values(reg, edits).collect()}
+    assert (got[4].builder, got[4].stage, got[4].link) == ("ООО Б", None, "a.pdf")
+    assert got[4].status == "заметка\nИсправлено вручную: «Застройщик», «Номер этапа»." and got[5].status == "s"
+    approved = rc.approve_values(reg, spark.createDataFrame([(4, "builder", "ООО В", "b.pdf")], "row_no int, field string, value string, filename string")).where("row_no = 4").first()
+    assert (approved.builder, approved.link, approved.status) == ("ООО В", "b.pdf", "заметка")
+
+
+def test_status_column():
+    assert rc.status_column(None) and rc.status_column("") and not rc.status_column(rc.STATUS_HEADER)
+    with pytest.raises(RuntimeError):
+        rc.status_column("Прочее")
+
+
+def test_blocked_numbers_say_why(spark):
+    rows = [row(4, f"{N}; 38-07-02-2025"), row(5, "RU-11111111-01-2020"), row(6, "RU-11111111-01-2020")]
+    _, ch = run(spark, rows, [record("a.pdf", stage="x"), record("b.pdf", number="RU-11111111-01-2020", stage="x"), record("приказ.pdf", number="RU-22222222-01-2020", stage="x")])
+    said = {r.number: r.existing for r in rc.conflicts(ch).collect()}
+    assert said == {N: "несколько номеров РНС в ячейке Excel", "RU-11111111-01-2020": "несколько строк Excel", "RU-22222222-01-2020": "строка Excel не найдена"}
+
+
 def test_weak_values_are_shown_not_written(spark):
     rec = record("p.pdf", builder="ООО А", stage="Этап 1.1") | {"field_quality": {"builder": ("review", "low_ocr_confidence", 24.0)}}
     _, ch = run(spark, [row(4, N)], [rec])

@@ -54,10 +54,8 @@ GENERIC_PREAMBLE = "обустройство ковыктинского газо
 _STAGE = r"(?U)\bэтап\s+\d+(?:\s*\.\s*\d+)*\b"
 
 
-def field_key(field: str, c: Column) -> Column:
-    """``compare_key``; of an object name, the generic preamble right before its first stage is left out."""
-    if field != "object":
-        return compare_key(c)
+def object_key(c: Column) -> Column:
+    """``compare_key`` of an object name without the generic preamble right before its first stage."""
 
     def without(key: Column) -> Column:
         at = F.regexp_instr(key, F.lit(_STAGE))
@@ -67,6 +65,11 @@ def field_key(field: str, c: Column) -> Column:
     return let(compare_key(c), without)
 
 
+def field_key(field: str, c: Column) -> Column:
+    """What two values of a field must share to be equal."""
+    return object_key(c) if field == "object" else compare_key(c)
+
+
 # The three ways a permit number is written; look-alike letters count in the prefix only.
 LEGACY_NUMBER = r"(?<![0-9A-Za-zА-Яа-я])(?:38|3[ВB]|З8)[\s_\-–—]*(\d{1,2})[\s_\-–—]*(\d{1,2})[\s_\-–—]*(20\d{2})(?!\d)"
 COMPACT_NUMBER = r"(?<!\d)(?:38|3[ВB]|З8)(\d{1,2})(\d{1,2})(20\d{2})(?!\d)"

@@ -109,7 +109,7 @@ def reconciled_cte() -> str:
     f0 AS ({fields}),
     f AS (SELECT *, CASE WHEN proposed IS NULL THEN 'skip' WHEN weak AND existing IS NULL THEN 'weak' WHEN weak AND differs THEN 'weak_conflict' WHEN weak THEN 'equal' WHEN existing IS NULL THEN 'write' WHEN differs THEN 'conflict' ELSE 'equal' END AS action FROM f0),
     per AS (SELECT number, count(*) FILTER (action IN ('weak', 'weak_conflict', 'conflict')) AS n_field_issues, count(*) FILTER (action = 'write') AS n_writes FROM f GROUP BY number),
-    ch AS (SELECT j.number, j.row_no, NOT blocked AND NOT bare AND j.row_no IS NULL AS new, j.blocked, j.bare, j.several,
+    ch AS (SELECT j.number, j.row_no, NOT blocked AND NOT bare AND j.row_no IS NULL AS new, j.blocked, j.bare, j.several, j.n_exact,
         CASE WHEN blocked THEN 1 WHEN bare THEN greatest(n_merge, 1) ELSE n_merge + coalesce(n_field_issues, 0) END AS n_issues,
         coalesce(n_writes, 0) + (NOT blocked AND NOT bare AND j.row_no IS NULL)::INT AS n_written FROM j LEFT JOIN per ON j.number = per.number),
     changes AS (SELECT *, CASE WHEN blocked THEN 'review_conflict' WHEN bare OR n_issues > 0 THEN 'review' WHEN new THEN 'added' WHEN n_written > 0 THEN 'updated' ELSE 'already_present' END AS outcome FROM ch)"""
@@ -181,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_sources": f"{m} SELECT number, filename FROM bases UNION SELECT number, filename FROM base1 WHERE amendment AND n_ev > 0 UNION SELECT b.number, filename FROM base1 b JOIN groups g ON b.number = g.number WHERE g.existing_only",
         "unlinked_directives": f"{m} SELECT DISTINCT number, filename, 'Изменение/продление не связано: недостаточно подтверждённых данных.' AS error FROM base1 WHERE amendment AND n_ev = 0",
         "reconcile_outcomes": f"{r} SELECT number, row_no, new, outcome, n_issues::BIGINT AS n_issues, n_written::BIGINT AS n_written FROM changes",
-        "reconcile_conflicts": f"{r} SELECT number, row_no, 'number' AS field, CASE WHEN several THEN 'несколько строк Excel' ELSE 'строка Excel не найдена' END AS existing, number AS proposed, 'review_conflict' AS action FROM changes WHERE outcome = 'review_conflict' UNION ALL SELECT number, row_no, field, shown, proposed, 'Перенести изменения' FROM f WHERE action IN ('conflict', 'weak_conflict')",
+        "reconcile_conflicts": f"{r} SELECT number, row_no, 'number' AS field, CASE WHEN n_exact > 1 THEN 'несколько строк Excel' WHEN several THEN 'несколько номеров РНС в ячейке Excel' ELSE 'строка Excel не найдена' END AS existing, number AS proposed, 'review_conflict' AS action FROM changes WHERE outcome = 'review_conflict' UNION ALL SELECT number, row_no, field, shown, proposed, 'Перенести изменения' FROM f WHERE action IN ('conflict', 'weak_conflict')",
         "reconcile_register": f"""{r}, w AS (SELECT number, row_no, {writes} FROM f GROUP BY number, row_no), numbered AS ({_numbered()})
         SELECT row_no, reg_id, nullif(number, '') AS number, {', '.join(f'coalesce(c_{f}, w_{f}) AS {name(f)}' for f in TRANSFER_FIELDS)} FROM (SELECT cells.*, register_rows.number, {', '.join(f'w_{f}' for f in TRANSFER_FIELDS)} FROM cells JOIN register_rows USING (row_no) LEFT JOIN (SELECT * EXCLUDE (number) FROM w WHERE row_no IS NOT NULL) AS hit USING (row_no))
         UNION ALL SELECT (last_row + place)::INT, (last_id + place)::BIGINT, n.number, {', '.join(f'w_{f}' for f in TRANSFER_FIELDS)} FROM numbered n JOIN w ON n.number = w.number CROSS JOIN {_last()}""",

@@ -24,6 +24,11 @@ def register(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.planned_changes(merge.merge_versions(records(spark, d)), register(spark, d))
+
+
+def settled(spark: SparkSession, d: str) -> DataFrame:
+    """``changes`` materialised once, for queries that use them several times."""
     return reconcile.reconcile(merge.merge_versions(records(spark, d)), register(spark, d))
 
 
@@ -75,22 +80,22 @@ def reconcile_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 def reconcile_register(spark: SparkSession, d: str) -> DataFrame:
     reg = register(spark, d)
-    after = reconcile.apply_changes(reg, changes(spark, d))
+    after = reconcile.apply_changes(reg, settled(spark, d))
     return after.select("row_no", "reg_id", "number", *[F.col(f).alias(f"{f}_") if f == "end" else F.col(f) for f in TRANSFER_FIELDS])
 
 
 def new_row_ids(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.assign_rows(changes(spark, d), register(spark, d))
+    return reconcile.assign_rows(settled(spark, d), register(spark, d))
 
 
 def cell_diff(spark: SparkSession, d: str) -> DataFrame:
     reg = register(spark, d)
-    diff = reconcile.cell_diff(reg, reconcile.apply_changes(reg, changes(spark, d)))
+    diff = reconcile.cell_diff(reg, reconcile.apply_changes(reg, settled(spark, d)))
     return diff.where("field NOT IN ('status', 'link')").groupBy("field").agg(F.count("*").alias("n_changed"), F.count("before").alias("n_overwritten"))
 
 
 def publication_check(spark: SparkSession, d: str) -> DataFrame:
-    reg, ch = register(spark, d), changes(spark, d)
+    reg, ch = register(spark, d), settled(spark, d)
     return reconcile.check_publication(reg, reconcile.apply_changes(reg, ch), ch)
 
 
@@ -104,12 +109,12 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, d: str) -> DataFrame:
-    p = summary.proposals(changes(spark, d), _documents(spark, d))
+    p = summary.proposals(settled(spark, d), _documents(spark, d))
     return p.select("number", "row_no", "field", "existing", "proposed", "status", "filename")
 
 
 def review_rows(spark: SparkSession, d: str) -> DataFrame:
-    ch = changes(spark, d)
+    ch = settled(spark, d)
     return summary.unresolved_rows(summary.row_cards(ch), summary.proposals(ch, _documents(spark, d)))
 
 
@@ -118,7 +123,7 @@ def row_cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def display_partition(spark: SparkSession, d: str) -> DataFrame:
-    ch = changes(spark, d)
+    ch = settled(spark, d)
     none = spark.createDataFrame([], "document_id string, outcome string")
     return summary.display_partition(summary.row_cards(ch), summary.proposals(ch, _documents(spark, d)), none).groupBy("place").agg(F.count("*").alias("n"))
 
@@ -217,7 +222,7 @@ def order_status(spark: SparkSession, d: str) -> DataFrame:
     return changes(spark, d).where("row_no IS NOT NULL").select("row_no", "status")
 
 
-_HELPERS = {"records", "register", "changes"}
+_HELPERS = {"records", "register", "changes", "settled"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
