@@ -26,8 +26,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
-    won = survivor.permit_survivors(table(spark, d, "rns_records"), half_life_days=180)
-    return won.select("number", *[won[f]["value"].alias(f) for f in ("end_date", "changed", "issuer", "builder")])
+    records = table(spark, d, "rns_records")
+    return survivor.survivor_values(survivor.permit_survivors(records, half_life_days=180), records)
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
