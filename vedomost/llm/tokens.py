@@ -4,17 +4,20 @@ The encoder reads text block by block and emits ids once no later text can chang
 
 * A match of the splitting pattern is final when it ends ``MARGIN`` characters before the block's end; the
   pattern looks ahead one character behind white space and its longest contraction has three.
-* A match that runs on through whole blocks (one long word, one long gap) goes to ``BytePairStream``: after each byte it
+* Every match, short or longer than many blocks, is fed to ``BytePairStream``: after each byte it
   knows the last token of the encoding of the bytes so far. By the compatibility property of BPE that
   token is the only one whose pair with the token before it encodes to itself. The merge list's sufficient
   lookahead is the length of its longest token: every later token starts within it, so a boundary that all states of
-  that window descend from is final, and everything before it is emitted and forgotten.
+  that window descend from is final, and everything before it is emitted and forgotten. A match that runs on through whole
+  blocks (one long word, one long gap) is fed as it arrives.
 
-Memory is bounded by the block, the window and the capped memo of words, whatever the text's length.
+Memory is bounded by the block, the window and the capped memo of words, whatever the text's length. The memo keeps what the
+stream gave for a word; its size changes no id.
 """
 
 from __future__ import annotations
 
+import ast
 import base64
 import codecs
 import os
@@ -30,17 +33,15 @@ TOKENIZER_DIR = os.environ.get("VEDOMOST_TOKENIZERS", "/opt/tokenizers")
 BLOCK = 1 << 16
 MARGIN = 3
 MEMO = 200_000
-LONG_PIECE = 64
+MEMO_BYTES = 256
 
 
 @cache
 def splitting_pattern(directory: str = TOKENIZER_DIR) -> regex.Pattern:
     """The pattern stated beside the vocabulary files."""
-    scope: dict = {}
     with open(os.path.join(directory, "__init__.py"), encoding="utf-8") as f:
-        line = next(x for x in f if x.startswith("PATTERN"))
-    exec(line, scope)  # noqa: S102 - one assignment of a raw string
-    return regex.compile(scope["PATTERN"])
+        stated = next(x for x in f if x.startswith("PATTERN")).partition("=")[2]
+    return regex.compile(ast.literal_eval(stated.strip()))
 
 
 @cache
@@ -49,20 +50,31 @@ def merge_ranks(name: str, directory: str = TOKENIZER_DIR) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@cache
+def _sizes_by_tail(name: str, directory: str) -> dict[bytes, tuple[int, ...]]:
+    """The lengths of the tokens that end in given two bytes, longest first; the state machine tries no others."""
+    sizes: dict[bytes, set[int]] = {}
+    for token in merge_ranks(name, directory):
+        if len(token) > 1:
+            sizes.setdefault(token[-2:], set()).add(len(token))
+    return {tail: tuple(sorted(found, reverse=True)) for tail, found in sizes.items()}
+
+
 class BytePairStream:
     """The BPE of one unbroken run of bytes, fed piecewise."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.lookahead = ranks, max(map(len, ranks))
+    def __init__(self, name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR):
+        self.ranks, self.sizes = merge_ranks(name, directory), _sizes_by_tail(name, directory)
+        self.lookahead = max(map(len, self.ranks))
         self.compatible = lru_cache(MEMO)(self._compatible)
         self.reset()
 
     def reset(self) -> None:
-        self.data = bytearray()
+        self.data = b""
         self.last: list[int] = [0]  # length of the last token of the encoding of data[:i]
 
     def bpe(self, piece: bytes) -> list[bytes]:
-        """Plain merging by rank, for short pieces."""
+        """Plain merging by rank, of two tokens at most."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             best, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
@@ -72,26 +84,32 @@ class BytePairStream:
         return parts
 
     def _compatible(self, a: bytes, b: bytes) -> bool:
-        return self.bpe(a + b) == [a, b]
+        return a + b not in self.ranks and self.bpe(a + b) == [a, b]
 
     def feed(self, piece: bytes) -> list[int]:
         """Takes bytes; returns the ids that became final."""
         out: list[int] = []
-        for byte in piece:
-            self.data.append(byte)
-            i = len(self.data)
-            for size in range(min(i, self.lookahead), 0, -1):
-                token = bytes(self.data[i - size : i])
-                if token not in self.ranks:
-                    continue
-                before = self.last[i - size]
-                if i == size or self.compatible(bytes(self.data[i - size - before : i - size]), token):
-                    break
-            self.last.append(size)
-            if i >= 8 * self.lookahead:
+        step = 8 * self.lookahead
+        for at in range(0, len(piece), step):
+            self._advance(piece[at : at + step])
+            if len(self.data) >= step:
                 out += self._emit()
         return out
 
+    def _advance(self, piece: bytes) -> None:
+        first, data, last, ranks, compatible, sizes = len(self.data), self.data + piece, self.last, self.ranks, self.compatible, self.sizes
+        self.data = data
+        for i in range(first + 1, len(data) + 1):
+            for size in sizes.get(data[i - 2 : i], ()) if i > 1 else ():
+                start = i - size
+                if start < 0 or (token := data[start:i]) not in ranks:
+                    continue
+                if start == 0 or compatible(data[start - last[start] : start], token):
+                    last.append(size)
+                    break
+            else:
+                last.append(1)
+
     def _emit(self) -> list[int]:
         """Emits up to the boundary that all states of the last window descend from."""
         n = len(self.data)
@@ -102,7 +120,7 @@ class BytePairStream:
             heads.add(top - self.last[top])
         common = heads.pop()
         out = self._tokens(common)
-        del self.data[:common]
+        self.data = self.data[common:]
         self.last = [0, *self.last[common + 1 :]]
         return out
 
@@ -110,7 +128,7 @@ class BytePairStream:
         out = []
         while end > 0:
             start = end - self.last[end]
-            out.append(self.ranks[bytes(self.data[start:end])])
+            out.append(self.ranks[self.data[start:end]])
             end = start
         return out[::-1]
 
@@ -124,23 +142,20 @@ class StreamingEncoder:
     """Text in blocks to ids; one instance encodes one text after the other."""
 
     def __init__(self, name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR, block: int = BLOCK):
-        self.pattern, self.ranks, self.block = splitting_pattern(directory), merge_ranks(name, directory), max(block, 2 * MARGIN + 2)
-        self.run = BytePairStream(self.ranks)
+        self.pattern, self.block = splitting_pattern(directory), max(block, 2 * MARGIN + 2)
+        self.run = BytePairStream(name, directory)
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def word(self, piece: str) -> tuple[int, ...]:
+        """The ids of a complete match, from the stream or the memo of what it gave."""
         ids = self.memo.get(piece)
         if ids is None:
             raw = piece.encode("utf-8")
-            if raw in self.ranks:
-                ids = (self.ranks[raw],)
-            elif len(raw) <= LONG_PIECE:
-                ids = tuple(self.ranks[x] for x in self.run.bpe(raw))
-            else:
-                return tuple(self.run.feed(raw) + self.run.close())
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = ids
+            ids = tuple(self.run.feed(raw) + self.run.close())
+            if len(raw) <= MEMO_BYTES:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -157,9 +172,11 @@ class StreamingEncoder:
                 held, done = self._continue(held, going, out)
                 going = None if done else going
             if not going:
-                at = 0
-                while (m := self.pattern.match(held, at)) and m.end() + MARGIN <= len(held):
-                    out += self.word(m[0])
+                at, final, known = 0, len(held) - MARGIN, self.memo.get
+                for m in self.pattern.finditer(held):
+                    if m.end() > final:
+                        break
+                    out += known(m[0]) or self.word(m[0])
                     at = m.end()
                 held = held[at:]
                 if (m := self.pattern.match(held)) and m.end() > self.block // 2 and (kind := self._kind(m[0])):
