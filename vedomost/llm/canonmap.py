@@ -1,23 +1,26 @@
 """Free-entered values mapped to the entries of a reference list.
 
 A BK-tree over the reference keys answers "every key within t edits" with triangle-inequality pruning, which
-needs a true metric: the unrestricted Damerau-Levenshtein distance. A reference list of at most
-``max_broadcast`` entries, counted first, travels to the workers and values are mapped where they lie, without a shuffle;
-a longer one is sharded, every distinct value meets every shard's tree, and the shards' winners are merged.
+needs a true metric: the unrestricted Damerau-Levenshtein distance. The tree is asked once per distinct value, and the answers are
+joined back. A reference list is counted first: up to ``max_broadcast`` entries it travels to the workers whole, beyond that
+in shards of at most that size, one after the other; every shard answers with its nearest keys, and the shards' winners are merged. Both
+ways give the same answers.
+
+Thresholds: no edit in keys under 4 letters, one under 7, two from 7 up (``limit_for``).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vedomost.session import cut_lineage, spread
+
 MAX_BROADCAST = 20_000
-MEMO = 100_000
 
 # Cyrillic letters in the usual Latin transcription, and on the keys of a Latin keyboard.
 TRANSLIT = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya"}
@@ -123,48 +126,71 @@ class Gazetteer:
             if code:
                 self.codes.setdefault(code, []).append(ident)
 
-    def find(self, value: str | None) -> tuple[int, list[int]]:
-        """(distance, ids of the nearest entries); no ids if nothing is near or two different keys are equally near."""
-        if value is None:
-            return 99, []
+    def nearest(self, value: str) -> tuple[int, list[list[int]]]:
+        """(distance, the ids of each nearest key); a code standing alone is nearer than any key (-1), 99 means nothing near."""
         best: tuple[int, dict[str, list[int]]] = (99, {})
         for text in fold_name(value):
             digits = re.findall(r"\d+", text)
             if len(digits) == 1 and digits[0] in self.codes and all(TYPE_WORDS.fullmatch(w) for w in re.findall(r"[^\W\d]+", text)):
-                return 0, self.codes[digits[0]]
+                return -1, [self.codes[digits[0]]]
             words = keys_of(text)
             for key in dict.fromkeys([*words, " ".join(words)]):
                 for d, near in self.tree.within(key, min(limit_for(key), best[0])):
                     if d < best[0]:
                         best = d, {}
                     if d == best[0]:
-                        best[1][near] = self.tree.ids[near]
-        ids = {i for x in best[1].values() for i in x}
-        sets = {tuple(x) for x in best[1].values()}
-        return (best[0], sorted(ids)) if len(sets) == 1 else (best[0], [])
+                        best[1][near] = sorted(self.tree.ids[near])
+        return best[0], list(best[1].values())
+
+
+def map_values(values: DataFrame, reference: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``(value, ids)``: for each row of ``values(value)``, which are distinct, the entries of the nearest key.
+
+    ``reference(id BIGINT, name, code)``. ids has several entries where entries share a name; it is empty where nothing is near or
+    keys of different entries are equally near. Values in which only one shard finds the nearest key get that key's entries, so the
+    number of shards changes nothing as long as equal names lie in one shard, which the hash of the key sees to.
+    """
+    size = reference.where("name IS NOT NULL").count()
+    shards = max(1, -(-size // max_broadcast))
+    # a hash spreads names unevenly: shards half as large as allowed, and each is counted before it travels
+    shards = shards if shards == 1 else 2 * shards
+    named = reference.where("name IS NOT NULL").withColumn("_s", F.pmod(F.xxhash64(_same_key("name")), F.lit(shards)))
+    won = None
+    for shard in range(shards):
+        entries = [tuple(r) for r in named.where(F.col("_s") == shard).select("id", "name", "code").limit(max_broadcast + 1).collect()]
+        if len(entries) > max_broadcast:
+            raise ValueError(f"more than {max_broadcast} entries share the hash of their name: raise max_broadcast")
+        found = values.select("value", _nearest(entries)("value").alias("n")).select("value", "n.*")
+        won = found if won is None else won.unionByName(found)
+    if shards == 1:
+        return won.select("value", _only("sets").alias("ids"))
+    best = won.groupBy("value").agg(F.min("distance").alias("d"), F.collect_list(F.struct("distance", "sets")).alias("all"))  # one entry per shard
+    sets = F.array_distinct(F.flatten(F.transform(F.filter("all", lambda x: x.distance == F.col("d")), lambda x: x.sets)))
+    return best.withColumn("sets", sets).select("value", _only("sets").alias("ids"))
 
 
-def _resolver(districts: list[tuple[int, str, int]], regions: list[tuple[int, str, str]]) -> Callable[[str | None, str | None], tuple[int, int]]:
-    by_name = Gazetteer([(i, n, None) for i, n, _ in districts])
-    by_region = Gazetteer([(i, n, c) for i, n, c in regions])
-    region_of = {i: r for i, _, r in districts}
+def _only(sets: str):
+    return F.when(F.size(sets) == 1, F.col(sets)[0]).otherwise(F.array().cast("array<bigint>"))
 
-    @lru_cache(MEMO)
-    def region(value: str | None) -> int:
-        ids = by_region.find(value)[1]
-        return ids[0] if len(ids) == 1 else -1
 
-    @lru_cache(MEMO)
-    def candidates(value: str | None) -> tuple[int, ...]:
-        return tuple(by_name.find(value)[1])
+def _same_key(name: str):
+    @F.pandas_udf("string")
+    def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([reference_key(x) for x in b.array], dtype="object")
 
-    def resolve(district: str | None, region_value: str | None) -> tuple[int, int]:
-        r, ids = region(region_value), candidates(district)
-        if len(ids) > 1:
-            ids = tuple(i for i in ids if region_of[i] == r) or tuple(i for i in ids if region_of[i] == region(district))
-        return (ids[0] if len(ids) == 1 else -1), r
+    return key(name)
 
-    return resolve
+
+def _nearest(entries: list[tuple[int, str, str | None]]):
+    @F.pandas_udf("struct<distance:int,sets:array<array<bigint>>>")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        gazetteer = Gazetteer(entries)
+        for b in batches:
+            found = [gazetteer.nearest(x) for x in b.array]
+            yield pd.DataFrame({"distance": pd.Series([d for d, _ in found], dtype="int32"), "sets": pd.Series([list(dict.fromkeys(map(tuple, s))) for _, s in found], dtype="object")})
+
+    return nearest
 
 
 def map_places(records: DataFrame, district_ref: DataFrame, region_ref: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -172,55 +198,32 @@ def map_places(records: DataFrame, district_ref: DataFrame, region_ref: DataFram
     literally the name of exactly one entry.
 
     ref_id is -1 for a value that means no entry (fillers, unknown names, values equally near to two names, a
-    name of several regions where the record's region decides nothing). NULL and blank values give no row, repeated records
-    one row; empty references give -1 throughout. Raises ValueError for reference lists over
-    ``max_broadcast`` entries, for which ``map_sharded`` is meant.
+    name of several regions where neither the record's region nor the value itself tells which). NULL and blank values give no row,
+    repeated records one row; empty references give -1 throughout.
     """
-    districts = [tuple(x) for x in district_ref.select("district_id", "district_name", "region_id").where("district_name IS NOT NULL").limit(max_broadcast + 1).collect()]
-    regions = [tuple(x) for x in region_ref.select("region_id", "region_name", "region_code").where("region_name IS NOT NULL").limit(max_broadcast + 1).collect()]
-    if max(len(districts), len(regions)) > max_broadcast:
-        raise ValueError("reference list over max_broadcast entries: use map_sharded")
-    names = [n for _, n, _ in districts]
-    once = [n for n in names if names.count(n) == 1] if len(names) <= 2000 else [n for n, k in pd.Series(names).value_counts().items() if k == 1]
-    plain_regions = [n for n, k in pd.Series([n for _, n, _ in regions], dtype="object").value_counts().items() if k == 1]
-
-    @F.pandas_udf("struct<district_id:bigint,region_id:bigint>")
-    def resolve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        mapper = lru_cache(MEMO)(_resolver(districts, regions))
-        for d, r in batches:
-            yield pd.DataFrame([mapper(x, y) for x, y in zip(d.array, r.array)], columns=["district_id", "region_id"], dtype="int64")
-
-    def open_value(column: str, literal: list[str]):
-        c = F.col(column)
-        return F.coalesce(c.rlike(r"(?U)[^\s​⁠﻿]"), F.lit(False)) & (~c.isin(*literal) if literal else F.lit(True))
-
-    asked = records.select("rec_id", "district", "region", open_value("district", once).alias("_d"), open_value("region", plain_regions).alias("_r")).where("_d OR _r")
-    mapped = asked.withColumn("m", resolve("district", "region"))
+    visible = lambda c: F.coalesce(F.col(c).rlike(r"(?U)[^\s\u200b\u2060\ufeff]"), F.lit(False))
+    asked = records.select("rec_id", "district", "region").where(visible("district") | visible("region"))
+    typed = asked.select(F.explode(F.array(F.struct(F.lit("d").alias("f"), F.col("district").alias("value")), F.struct(F.lit("r").alias("f"), F.col("region").alias("value")))).alias("x"))
+    typed = typed.select("x.*").where(visible("value")).groupBy("value").agg(F.bool_or(F.col("f") == "d").alias("is_district"))
+    typed = cut_lineage(spread(typed, "value"))  # the distinct values; both searches start from them
+    districts = district_ref.select(F.col("district_id").cast("long").alias("id"), F.col("district_name").alias("name"), F.lit(None).cast("string").alias("code"))
+    regions = region_ref.select(F.col("region_id").cast("long").alias("id"), F.col("region_name").alias("name"), F.col("region_code").alias("code"))
+    once = lambda ref: ref.where("name IS NOT NULL").groupBy(F.col("name").alias("value")).agg((F.count("*") == 1).alias("literal"))
+    by_region = map_values(typed.select("value"), regions, max_broadcast)
+    by_region = by_region.select("value", F.when(F.size("ids") == 1, F.col("ids")[0]).otherwise(-1).alias("region_id")).join(once(regions), "value", "left")
+    by_region = cut_lineage(by_region.withColumn("literal", F.coalesce("literal", F.lit(False))))
+    home = district_ref.select(F.col("district_id").cast("long").alias("id"), F.col("region_id").cast("long").alias("home")).where("id IS NOT NULL").distinct()
+    by_district = map_values(typed.where("is_district").select("value"), districts, max_broadcast)
+    candidates = by_district.select("value", F.explode_outer("ids").alias("id")).join(home, "id", "left").groupBy("value").agg(F.collect_set(F.struct("id", "home")).alias("entries"))  # entries of one name
+    candidates = candidates.join(by_region.select("value", F.col("region_id").alias("own")), "value", "left").join(once(districts), "value", "left")
+    told = candidates.select(F.col("value").alias("district"), "entries", "own", F.coalesce("literal", F.lit(False)).alias("district_literal"))
+    j = asked.join(told, "district", "left").join(by_region.withColumnsRenamed({"value": "region", "literal": "region_literal"}), "region", "left")
+    within = lambda region: F.filter("entries", lambda e: e.home == F.col(region))
+    pick = lambda found: F.when(F.size(found) == 1, found[0]["id"])
+    several = F.size("entries") > 1
+    chosen = F.when(several, F.when(F.size(within("region_id")) > 0, pick(within("region_id"))).otherwise(pick(within("own")))).otherwise(F.col("entries")[0]["id"])
     cells = F.array(
-        F.when(F.col("_d"), F.struct(F.lit("district").alias("field"), F.col("district").alias("value"), F.col("m.district_id").alias("ref_id"))),
-        F.when(F.col("_r"), F.struct(F.lit("region").alias("field"), F.col("region").alias("value"), F.col("m.region_id").alias("ref_id"))),
+        F.when(F.col("entries").isNotNull() & ~F.col("district_literal"), F.struct(F.lit("district").alias("field"), F.col("district").alias("value"), F.coalesce(chosen, F.lit(-1)).cast("long").alias("ref_id"))),
+        F.when(F.col("region_id").isNotNull() & ~F.col("region_literal"), F.struct(F.lit("region").alias("field"), F.col("region").alias("value"), F.col("region_id").alias("ref_id"))),
     )
-    return mapped.select("rec_id", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).select("rec_id", "c.*").distinct()
-
-
-def map_sharded(values: DataFrame, value: str, reference: DataFrame, ref_id: str, ref_name: str, shards: int = 32) -> DataFrame:
-    """``(value, ref_id, distance)``: the nearest entry of a long reference list for each distinct value.
-
-    ref_id is -1 where no entry is near or two are equally near. NULL values give no row. Each shard of the reference is one tree
-    in one task; blocks of values meet each shard, and ``min`` merges the shards' winners.
-    """
-    blocks = shards
-    asked = values.select(F.col(value).alias("value")).where("value IS NOT NULL").distinct().withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    entries = reference.select(F.col(ref_id).cast("long").alias("id"), F.col(ref_name).alias("name")).where("name IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
-    entries = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tree = Gazetteer([(int(i), n, None) for i, n in zip(right["id"], right["name"])])
-        found = [(v, d, ids) for v in left["value"] for d, ids in [tree.find(v)] if d < 99]
-        return pd.DataFrame([(v, d, i) for v, d, ids in found for i in (ids or [-1])], columns=["value", "distance", "ref_id"]).astype({"distance": "int32", "ref_id": "int64"})
-
-    won = asked.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInPandas(search, "value string, distance int, ref_id long")
-    best = won.groupBy("value").agg(F.min(F.struct("distance", "ref_id")).alias("first"), F.min("distance").alias("d"), F.max(F.struct(-F.col("distance"), "ref_id")).alias("last"))
-    best = best.select("value", F.when(F.col("first.ref_id") == F.col("last.ref_id"), F.col("first.ref_id")).otherwise(-1).alias("ref_id"), F.col("d").alias("distance"))
-    return asked.select("value").distinct().join(best, "value", "left").select("value", F.coalesce("ref_id", F.lit(-1)).cast("long").alias("ref_id"), "distance")
+    return j.select("rec_id", F.inline(F.filter(cells, lambda x: x.isNotNull()))).distinct()
