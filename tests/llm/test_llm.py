@@ -31,6 +31,40 @@ def test_survivors(spark):
     assert survivor.permit_survivors(df.where("false")).count() == 0
 
 
+def test_votes_decide_not_only_the_latest(spark):
+    import datetime
+
+    rows = [("n", i, v, datetime.datetime(2024, 1, i)) for i, v in enumerate(["ООО Альфа", "ООО Альфа", "ООО Альфа", "ООО Бета"], 1)]
+    df = spark.createDataFrame(rows, "number string, rec_id long, builder string, received_at timestamp")
+    rule = {"builder": survivor.FieldRule("name", survivor.F.lit(1.0))}
+    won = lambda days: survivor.resolve_fields(df, "number", "rec_id", "received_at", rule, days).first().builder
+    assert won(180).row_id == 3 and won(0.01).row_id == 4 and won(survivor.LATEST_WINS).row_id == 4
+    at = [(datetime.datetime(2024, 1, i) - datetime.datetime(1970, 1, 1)).days for i in (1, 2, 3)]
+    assert abs(won(180).votes - np.log2(sum(2 ** (d / 180) for d in at))) < 1e-6
+    with pytest.raises(ValueError):
+        won(0)
+
+
+def test_votes_are_summed_over_buckets():
+    import math
+
+    assert survivor.SPAN == 512 and math.isfinite(2.0**survivor.SPAN * 1e9)
+
+
+def test_script_sets_decide():
+    from vedomost.llm.lookalike import resolve_token
+
+    assert resolve_token("Школа")[0] >= {"Cyrillic"} and not resolve_token("Шкoла")[0] and resolve_token("Шкoла")[1] >= {"Cyrillic"} and "Latin" not in resolve_token("Шкoла")[1]
+    assert {"Cyrillic", "Latin"} <= resolve_token("сор")[1] and resolve_token("Αθήνα")[0] == {"Greek"} and "Cyrillic" not in resolve_token("Αθήνα")[1]
+    assert not resolve_token("Աbc")[0] and plain_text("հouse") == "house"
+
+
+def test_other_scripts_are_no_case_but_mixtures_are(spark):
+    rows = [("t", 1, "object", "Αθήνα"), ("t", 2, "object", "հouse"), ("t", 3, "object", "дом 2О15"), ("t", 4, "object", "家屋"), ("t", 5, "object", "домж b")]
+    got = {r.row_id: r.fixes for r in lookalike_values(spark.createDataFrame(rows, "tab string, row_id long, scope string, value string")).collect()}
+    assert got.keys() == {2, 3} and got[2] == {"հouse": "Latin"}
+
+
 def test_bk_tree_finds_what_brute_force_finds():
     rng = random.Random(3)
     keys = list({"".join(rng.choices("абвг", k=rng.randint(2, 7))) for _ in range(150)})
@@ -51,6 +85,16 @@ def test_places(spark):
     assert (1, "district") not in got and (5, "district") not in got
 
 
+def test_sharded_places_equal_broadcast_ones(spark):
+    d = spark.createDataFrame([(i, f"{n} район", 1 + i % 2) for i, n in enumerate("Жигаловский Горский Горский Омский Тверской Лимский Лимбский Камский".split(), 1)], "district_id long, district_name string, region_id long")
+    r = spark.createDataFrame([(1, "Омская область", "100"), (2, "Тверский край", "200"), (3, "Камская область", "300")], "region_id long, region_name string, region_code string")
+    typed = ["Жигаловскй район", "Горский", "Лимский р-н", "Лимсбкий", "Камский", "Марс", "код 200", "камская обл", "", None]
+    rows = spark.createDataFrame([(i, a, typed[(i * 3) % len(typed)]) for i, a in enumerate(typed)], "rec_id long, district string, region string")
+    want = {tuple(x) for x in canonmap.map_places(rows, d, r).collect()}
+    assert want and want == {tuple(x) for x in canonmap.map_places(rows, d, r, max_broadcast=3).collect()}
+    assert canonmap.map_places(rows, d.where("false"), r.where("false")).where("ref_id <> -1").count() == 0
+
+
 def test_party_parts():
     p = party.parse_party
     same = ["ООО «Чикнавтик Мирбавпроект»", "Мирбавпроект Чикнавтик (ООО)", "ООО «Чикнавтик Мирбав-проект»", "Общество с ограниченной ответственностью ЧикнавтикМирбавпроект", "OOO Chiknavtik Mirbavproekt"]
@@ -101,6 +145,37 @@ def test_sentences():
     assert units(" ​\n") == [] and units("") == []
 
 
+def test_the_document_outranks_lists_and_corpus():
+    units = lambda t, known=frozenset(): [t[a:b] for a, b in sentences.Splitter(known).units(t)]
+    assert len(units("Это был проф. Далее шли другие.")) == 1
+    assert len(units("Новый проф собрал всех. Старый проф ушёл. Это был проф. Далее шли другие.")) == 4
+    assert len(units("Схема по табул. форме. Далее табул. Белый лист.")) == 2 and len(units("Далее табул. Белый лист.")) == 2
+    assert len(units("Далее табул. Белый лист.", frozenset({"табул"}))) == 1
+
+
+def test_long_plain_lines_take_time_in_proportion():
+    import time
+
+    text = "Это обычная проза, в которой ничего нет. Работы выполнены согл. плану. " * 2000
+    began = time.time()
+    assert len(sentences.Splitter().units(text)) == 4000 and time.time() - began < 5
+
+
+def test_many_learned_words_go_by_join(spark):
+    rows = [(1, "см. табул. форму. " * 9), (2, "Далее табул. Белый лист."), (3, None), (4, " "), (4, " "), (5, "Да. Нет."), (5, "Да. Нет.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("units", survivor.F.lit(1))
+    want = sorted(map(tuple, sentences.sentence_units(df).collect()))
+    assert want == sorted(map(tuple, sentences.sentence_units(df, max_broadcast=0).collect())) and (2, 0, 24) in want and sum(x[0] == 5 for x in want) == 4
+
+
+def test_every_match_is_fed_to_the_byte_stream(monkeypatch):
+    e, fed = tokens.StreamingEncoder(), []
+    feed = e.run.feed
+    monkeypatch.setattr(e.run, "feed", lambda raw: fed.append(raw) or feed(raw))
+    e.encode("Акт № 5 принят")
+    assert b"".join(fed).decode() == "Акт № 5 принят"
+
+
 def scan_lines(spark, texts):
     words = [[(t, 100 + 50 * k, 500, 40, 20, 0.9) for k, t in enumerate(line.split())] for line in texts]
     rows = [(i, 1, i // 40, i % 40, 1000, 1000, w) for i, w in enumerate(words)]

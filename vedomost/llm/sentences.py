@@ -2,10 +2,13 @@
 
 A text is read in lines: headings, form and table lines, list items and notes are units of their own, lines of running
 text are joined over line breaks inside a sentence. Running text is divided at the terminators of each script. Whether a point
-ends a sentence is decided in the document's own terms: a short word that the document writes with a point
-before a small letter is an abbreviation, one that it also writes without a point is none; where the document shows
-nothing, the counts of the whole corpus and a list of usual abbreviations tell. A capital after an abbreviation
-begins a sentence only behind abbreviations that can end one; initials end one only behind their surname.
+ends a sentence is decided in the document's own terms first: a word that the document writes with a point
+before a small letter is an abbreviation, one that it writes without a point only is none. Where the document shows
+nothing or both, the counts of the whole corpus tell; a list of usual abbreviations is the last prior. A capital after an
+abbreviation begins a sentence only behind abbreviations that can end one, or if the document writes the capitalised word
+small elsewhere, so that it is no name; initials end one only behind their surname.
+
+A decision looks back over the words before it only, so the time is in proportion to the text, whatever its lines.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from pyspark.sql import functions as F
 # Abbreviations that stand before what they belong to, and such as may end a sentence.
 LEADING = set("ул д стр им п пп ст ч рис см вх исх т табл гл акт пл пер пос просп наб корп оф кв тел разд прил гр проф акад инж зам ср напр вкл обл dr mr mrs ms prof fig figs sec vol no nos cf approx i e g st eq ch pp p art ref vs डॉ श्री".split())
 CLOSING = set("мес пр др тыс млн млрд руб коп м км см мм га кг чел экз шт мин сек час гг н е к п ltd inc co corp jr a.m p.m u.s etc".split())
-MAX_LEARNED = 20_000
+#: Learned abbreviations that travel to the workers; more of them are joined to the documents that have them.
+MAX_BROADCAST = 200_000
+#: Unambiguous places that make a word of up to SHORT letters, or a longer one, an abbreviation of its document.
+SHORT, SHOWN, SHOWN_LONG = 5, 1, 2
+LOOK_BACK = 256
 OPEN, CLOSE = "«„“「『《〈", "»“”」』》〉"
 PAIRS = {"«": "»", "„": "“”", "“": "”“", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", '"': '"'}
 STOPS = ".!?…"
@@ -34,6 +41,8 @@ _NUMBERED = re.compile(r"(?:\d{1,3}\.){1,4}\s+[^\W\d_]")
 _HEADING = re.compile(r"(?:раздел|глава|статья|приложение|section|chapter|article|annex|appendix|part)\s+(?:№\s*)?\d", re.I)
 _LABEL = re.compile(r"[^\W\d_][^:.!?«»\"“”|]{0,60}:\s+(?:до\s+\d|[\dA-ZА-ЯЁ№—-])")
 _NOTE = re.compile(r"[^\W\d_]+\s+№?\s*\d+:\s")
+_POINTED = re.compile(r"(?<![^\W_])([^\W\d_]+)\.(?=[  ][a-zа-яё]|,)")
+_UNPOINTED = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?=[\s,;:!?)»])")
 WRAP = 40
 
 
@@ -69,7 +78,6 @@ class Splitter:
     def units(self, text: str) -> list[tuple[int, int]]:
         """(start, end) offsets of the units, in order; none for a blank text."""
         self.text = text
-        self.own, self.plain = set(), None
         out: list[tuple[int, int]] = []
         lines, at = [], 0
         for m in _BREAK.finditer(text):
@@ -132,10 +140,10 @@ class Splitter:
         if _LABEL.match(line) and not re.search(r"[!?…]$", line) and len(line) <= 200:
             value = line.split(":", 1)[1]
             return not re.search(r"[^\W\d_]{4,}[.!?…]\s+\S", value) and (not line.endswith(".") or bool(re.search(r"(?:\d\s*г|\b\w)\.$", line)))
-        letters = [c for c in line if c.isalpha()]
-        if not letters:
+        letter = next(filter(str.isalpha, line), None)
+        if letter is None:
             return True
-        if _script(letters[0]) == "THAI":
+        if _script(letter) == "THAI":
             return False
         if _ended(line):
             return False
@@ -146,15 +154,55 @@ class Splitter:
         return not (following[0].islower() and len(line) >= WRAP) and not re.search(r"[.!?…]\s+\S|,$", line) and not (line[0].isalpha() and not line[0].isupper())
 
     def _read_document(self, text: str) -> None:
-        """The abbreviations and plain short words that the document itself shows."""
-        self.own = {m[1].lower() for m in re.finditer(r"(?<![^\W_])([^\W\d_]{1,5})\.(?=[  ][a-zа-яё]|,)", text)}
-        self.plain = {m[1].lower() for m in re.finditer(r"(?<![^\W_])([^\W\d_]{3,5})(?=[  ][a-zа-яё])", text)} if self.own else set()
+        """What the document itself shows: words with a point inside a sentence, words without one, words written small."""
+        shown: dict[str, int] = {}
+        for m in _POINTED.finditer(text):
+            low = m[1].lower()
+            shown[low] = shown.get(low, 0) + 1
+        self.own = {w for w, n in shown.items() if n >= (SHOWN if len(w) <= SHORT else SHOWN_LONG)}
+        self.plain = self.small = None
+
+    def _written_plain(self, low: str) -> bool:
+        if self.plain is None:
+            self.plain = {m[0].lower() for m in _UNPOINTED.finditer(self.text)}
+        return low in self.plain
+
+    def _written_small(self, low: str) -> bool:
+        if self.small is None:
+            self.small = set(re.findall(r"\w+", self.text))
+        return low in self.small
+
+    def _by_document(self, low: str) -> bool | None:
+        """Whether the document tells a word for an abbreviation or for none; None where it shows nothing or both."""
+        own, plain = low in self.own, len(low) > 1 and self._written_plain(low)
+        return None if own == plain else own
 
     def _abbreviation(self, word: str) -> bool:
         low = word.lower()
-        if low in LEADING or low in CLOSING or low == "г" or low in self.learned:
-            return True
-        return low in self.own and low not in self.plain and len(low) <= 4
+        told = self._by_document(low)
+        if told is not None:
+            return told
+        return low in self.learned or low in LEADING or low in CLOSING or low == "г"
+
+    def _back(self, start: int, end: int) -> str:
+        """The text before ``end``: as much of it as words, initials and spaces there can need, all of it where that is more."""
+        at = end - LOOK_BACK
+        if at <= start or not re.search(r"\s[^\W\d_]{2,}\s|[^\w\s.][^.]*\s", self.text[at:end]):
+            return self.text[start:end]
+        return self.text[at:end]
+
+    def _word_before(self, start: int, a: int) -> tuple[str, int]:
+        """The word, with points between its letters, that ends at ``a``, and where it starts; '' if there is none."""
+        text, j = self.text, a
+        while j > start and (text[j - 1].isalpha() or text[j - 1] == "."):
+            j -= 1
+        if j > start and (text[j - 1].isalnum() or text[j - 1] == "_"):  # the run is the end of something with digits
+            k = j
+            while k < a and text[k] != ".":
+                k += 1
+            return "", a
+        m = re.search(r"(?:(?<=[^\w.])|^)((?:[^\W\d_]\.)*[^\W\d_]+)$", text[j:a])
+        return (m[1], j + m.start()) if m else ("", a)
 
     def _running(self, start: int, end: int) -> list[tuple[int, int]]:
         """Units of running text between two offsets."""
@@ -215,8 +263,15 @@ class Splitter:
         if any(c in OTHERS for c in core):
             return text[b].isspace() or text[b].isalpha()
         if not text[b].isspace():  # a line break may have been lost: "дважды.Проект"
-            word = re.search(r"([^\W\d_]+)$", text[start:a])
-            return bool(re.match(r"[«„“\"(]?[^\W\d_][^\W\d_]|[«„“\"(]?[^\W\d_]{1,3}\.\s|[^\W\d_]\s", text[b : b + 8])) and text[b : b + 2].strip("«„“\"(")[:1].isupper() and (core != "." or hit != core or bool(word) and (len(word[1]) > 3 or not self._abbreviation(word[1])) and word[1][-1].islower() or bool(re.search(r"\d$", text[start:a])))
+            if not (re.match(r"[«„“\"(]?[^\W\d_][^\W\d_]|[«„“\"(]?[^\W\d_]{1,3}\.\s|[^\W\d_]\s", text[b : b + 8]) and text[b : b + 2].strip("«„“\"(")[:1].isupper()):
+                return False
+            if core != "." or hit != core:
+                return True
+            j = a
+            while j > start and text[j - 1].isalpha():
+                j -= 1
+            word = text[j:a]
+            return bool(word) and (len(word) > 3 or not self._abbreviation(word)) and word[-1].islower() or a > start and text[a - 1].isdigit()
         k = b
         while k < end and not visible(text[k]):
             k += 1
@@ -231,20 +286,20 @@ class Splitter:
             return False
         if core[-1] in "!?…" or core.startswith("..") or hit != core:
             return True
-        before = text[start:a]
         if first.isalpha() and _script(first) == "DEVANAGARI":
             return False
-        if re.search(r"[ऀ-ॿ]$", before):
+        if a > start and "\u0900" <= text[a - 1] <= "\u097f":
             return False
-        m = re.search(r"(?:(?<=[^\w.])|^)((?:[^\W\d_]\.)*[^\W\d_]+)$", before)
-        if not m:
+        word, at = self._word_before(start, a)
+        if not word:
             return True
-        word, low = m[1], m[1].lower()
-        ahead = before[: m.start()]
+        low, ahead = word.lower(), self._back(start, at)
         if len(word) == 1 and word.isupper() or re.fullmatch(r"(?:[A-ZА-ЯЁ]\.)+[A-ZА-ЯЁ]", word):
             if low == "u.s" or re.match(r"[^\W\d_]\.", text[lead : lead + 2]):
                 return False
             return self._initials_end(ahead, first)
+        if first.isalpha() and self._by_document(low) is False:
+            return True  # the document writes it as a word
         if low == "г":
             return bool(re.search(r"\d\s*$", ahead))
         if low in ("п", "е", "к", "н", "д") and re.search(r"(?:^|\s)(?:т|и т|н)\.\s?$", ahead):
@@ -257,7 +312,7 @@ class Splitter:
             return True
         if self._abbreviation(word):
             follower = re.match(r"[^\W\d_]+", text[lead : lead + 40])
-            return low not in LEADING and bool(follower) and re.search(rf"(?<!\w){re.escape(follower[0].lower())}(?!\w)", text) is not None
+            return low not in LEADING and bool(follower) and self._written_small(follower[0].lower())
         return True
 
     def _initials_end(self, ahead: str, first: str) -> bool:
@@ -270,44 +325,57 @@ class Splitter:
         return bool(rest) and rest[-1] not in STOPS
 
 
-def learned_abbreviations(documents: DataFrame) -> frozenset[str]:
-    """Short words that the whole corpus writes with a point before a small letter, and hardly without.
+def corpus_abbreviations(documents: DataFrame) -> DataFrame:
+    """``(w)``: words that the whole corpus writes with a point before a small letter, and hardly without; one scan of all documents."""
+    place = r"(?<![\p{L}\p{N}])\p{L}+\.(?=[  ]\p{Ll}|,)|(?<![\p{L}\p{N}.])\p{L}+(?=[  ]\p{L})"
+    each = documents.select(F.explode(F.regexp_extract_all("text", F.lit(place), F.lit(0))).alias("x")).groupBy("x").agg(F.count("*").alias("k"))
+    pointed = F.endswith("x", F.lit("."))
+    counts = each.groupBy(F.lower(F.rtrim(F.col("x"), F.lit("."))).alias("w")).agg(F.sum(F.when(pointed, F.col("k")).otherwise(0)).alias("p"), F.sum(F.when(pointed, 0).otherwise(F.col("k"))).alias("n"))
+    return counts.where("p >= 5 AND p >= 3 * n").select("w")
+
 
-    Counted over all documents; a word needs at least 1/MAX_LEARNED of all such places, so that no more
-    than MAX_LEARNED words can qualify whatever the corpus.
+def _split(documents: DataFrame, kind: str, shape, max_broadcast: int) -> DataFrame:
+    """``documents(doc_id, text)`` with ``units``, what ``shape`` makes of each text and its spans.
+
+    The learned abbreviations are counted while they are collected; where they are more than ``max_broadcast``, each text gets those it contains
+    by a join on its pointed words. A document has the same units either way.
     """
-    text = F.lower("text")
-    with_point = documents.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"(?<![\p{L}\p{N}])(\p{L}{1,5})\.(?=[  ]\p{Ll}|,)"), F.lit(1))).alias("w"), F.lit(1).alias("p"), F.lit(0).alias("n"))
-    without = documents.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}.])(\p{L}{1,5})(?=[  ]\p{L})"), F.lit(1))).alias("w"), F.lit(0).alias("p"), F.lit(1).alias("n"))
-    counts = with_point.unionByName(without).groupBy(F.lower("w").alias("w")).agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where("p >= 5 AND p >= 3 * n")
-    total = counts.agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
-    return frozenset(r[0] for r in counts.where(F.col("p") * MAX_LEARNED >= total).select("w").collect())
+    learned = corpus_abbreviations(documents)
+    few = [r[0] for r in learned.limit(max_broadcast + 1).collect()]
+    if len(few) <= max_broadcast:
+        known = frozenset(few)
 
+        @F.pandas_udf(kind)
+        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            splitter = Splitter(known)
+            for texts in batches:
+                yield pd.Series([shape(t, splitter.units(t)) if t else [] for t in texts.array], dtype="object")
 
-def sentence_units(documents: DataFrame) -> DataFrame:
-    """``(doc_id, sent_start, sent_end)``, one row per sentence unit; offsets count code points.
+        return documents.select("doc_id", split("text").alias("units"))
 
-    NULL, empty and blank texts have no unit; repeated rows give repeated units.
-    """
-    learned = learned_abbreviations(documents)
+    @F.pandas_udf(kind)
+    def split_own(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, words in batches:
+            yield pd.Series([shape(t, Splitter(frozenset(() if w is None else w)).units(t)) if t else [] for t, w in zip(texts.array, words.array)], dtype="object")
 
-    @F.pandas_udf("array<struct<s:int,e:int>>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        splitter = Splitter(learned)
-        for texts in batches:
-            yield pd.Series([[{"s": s, "e": e} for s, e in splitter.units(t)] if t else [] for t in texts.array], dtype="object")
+    numbered = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    pointed = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)\."), F.lit(1)))
+    own = numbered.select("h", F.explode(pointed).alias("w")).distinct().join(learned, "w").groupBy("h").agg(F.collect_set("w").alias("ws"))  # words of one text
+    return numbered.join(own, "h", "left").select("doc_id", split_own("text", "ws").alias("units"))
 
-    return documents.select("doc_id", F.explode(split("text")).alias("u")).select("doc_id", F.col("u.s").alias("sent_start"), F.col("u.e").alias("sent_end"))
 
+def sentence_units(documents: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``(doc_id, sent_start, sent_end)``, one row per sentence unit; offsets count code points.
 
-def sentence_texts(documents: DataFrame) -> DataFrame:
-    """The units with their text and number within the document: ``(doc_id, sent_no, sent)``."""
-    learned = learned_abbreviations(documents)
+    NULL, empty and blank texts have no unit; repeated rows give repeated units.
+    """
+    spans = lambda text, units: [{"s": s, "e": e} for s, e in units]
+    split = _split(documents.select("doc_id", "text"), "array<struct<s:int,e:int>>", spans, max_broadcast)
+    return split.select("doc_id", F.explode("units").alias("u")).select("doc_id", F.col("u.s").alias("sent_start"), F.col("u.e").alias("sent_end"))
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        splitter = Splitter(learned)
-        for texts in batches:
-            yield pd.Series([[t[s:e] for s, e in splitter.units(t)] if t else [] for t in texts.array], dtype="object")
 
-    return documents.select("doc_id", F.posexplode(split("text")).alias("sent_no", "sent"))
+def sentence_texts(documents: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The units with their text and number within the document: ``(doc_id, sent_no, sent)``."""
+    texts = lambda text, units: [text[s:e] for s, e in units]
+    split = _split(documents.select("doc_id", "text"), "array<string>", texts, max_broadcast)
+    return split.select("doc_id", F.posexplode("units").alias("sent_no", "sent"))
