@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _OWN_CHECKPOINT_DIR: str | None = None
 
@@ -61,3 +62,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` in as many partitions as shuffles are set to, for few rows that are dear to compute; adaptive execution would put them into one task."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def small(df: DataFrame, most_rows: int = 300_000) -> DataFrame:
+    """``df``, which is materialised, marked for broadcast if it has at most ``most_rows`` narrow rows; otherwise joins shuffle it."""
+    return broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
