@@ -189,12 +189,75 @@ def misread(spark, texts):
 def test_words_at_line_starts_are_in_the_lexicon(spark):
     texts = [f"Протокол {i}." for i in range(9)] + ["Протонол 10.", "Акт о протоко-", "ле дня."]
     assert misread(spark, texts) == {(9, 1)}
-    body = ocrnoise.body_lines(scan_lines(spark, texts)).where("filled AND NOT furniture")
-    split = ocrnoise.divided_words(body, ocrnoise.place_counts(body))
-    counts = {r.w: r.n for r in ocrnoise.lexicon(body, split)[0].collect()}
+    slim = ocrnoise.token_lines(ocrnoise.body_lines(scan_lines(spark, texts)))
+    tokens_ = ocrnoise.token_table(slim)
+    split = ocrnoise.divided_words(slim, ocrnoise.place_counts(tokens_))
+    counts = {r.w: r.n for r in ocrnoise.lexicon(tokens_, ocrnoise._open_ends(slim, split)).collect()}
     assert counts["протокол"] == 9 and not {"протоко", "ле"} & counts.keys() and counts["акт"] == 1
 
 
+def test_edit_weights():
+    cost = ocrnoise.misreading_cost
+    assert cost("раон", "район") == cost("районн", "район") == cost("рацон", "район") == ocrnoise.OTHER_EDIT
+    assert cost("рай.он", "район") == ocrnoise.SIGN and cost("rnост", "мост") == ocrnoise.CONFUSION and cost("мст", "мост") is None
+    words = ["", "а", "раон", "райо.н", "rnай", "эк", "жук", "bl"]
+    for x in words:
+        for y in words:
+            assert cost(x, y) == brute_cost(x, y), (x, y)
+
+
+def brute_cost(seen, printed):
+    from functools import cache
+
+    @cache
+    def d(i, j):
+        out = [0.0] if i == j == 0 else []
+        if i:
+            out.append(d(i - 1, j) + (ocrnoise.SIGN if seen[i - 1] in ocrnoise.NOISE else ocrnoise.OTHER_EDIT))
+        if j:
+            out.append(d(i, j - 1) + ocrnoise.OTHER_EDIT)
+        if i and j:
+            a, b = seen[i - 1], printed[j - 1]
+            out.append(d(i - 1, j - 1) + (0 if a == b else ocrnoise.CONFUSION if b in ocrnoise.CONFUSED.get(a, "") else ocrnoise.SIGN if a in ocrnoise.NOISE else ocrnoise.OTHER_EDIT))
+        if i > 1 and j and (seen[i - 2 : i], printed[j - 1]) in ocrnoise.JOINED:
+            out.append(d(i - 2, j - 1) + ocrnoise.CONFUSION)
+        return min(out)
+
+    got = d(len(seen), len(printed))
+    most = ocrnoise.OTHER_EDIT * (2 if max(len(seen), len(printed)) >= ocrnoise.LONG else 1)
+    return got if got < most and abs(len(seen) - len(printed)) <= 3 else None
+
+
+def test_readings_of_impossible_characters():
+    assert ocrnoise.reading("п@рка,") == "парка" and ocrnoise.reading("2O12.05.13") == "2012.05.13" and ocrnoise.reading("район") is None and ocrnoise.reading("№ 5") is None
+
+
+def test_lost_and_added_letters_are_repaired(spark):
+    texts = ["весь новый район города 1."] * 20 + ["весь новый раон города 2.", "весь новый районн города 3.", "весь новый рай.он города 4."]
+    slim_split = ocrnoise.scan_noise(scan_lines(spark, texts))
+    assert {(r.line_id, r.word_no, r.repair) for r in slim_split[3].collect()} == {(20, 3, "район"), (21, 3, "район"), (22, 3, "район")}
+
+
+def test_margins_are_where_lines_repeat(spark):
+    rows = []
+    for page in range(1, 5):
+        for no, (text, top) in enumerate([("Том 5", 30), (f"Начало листа {'абвг'[page]}", 90), ("Том 5 описан", 500), (f"Конец {'дежз'[page]}", 900), (f"{page}", 960)] if page < 4 else [("Глава", 90), ("4", 960)]):
+            rows.append((page * 10 + no, 1, page, no, 1000, 1000, [(w, 100 + 60 * k, top, 50, 20, 0.9) for k, w in enumerate(text.split())]))
+    lines = spark.createDataFrame(rows + [(99, 1, 9, 0, 1000, 1000, None)], "line_id long, scan_id long, page int, line_no int, page_width int, page_height int, words array<struct<text:string,left:int,top:int,width:int,height:int,confidence:double>>")
+    got = {r.line_id for r in ocrnoise.found_noise(lines).where("kind = 'furniture'").collect()}
+    assert got == {10, 14, 20, 24, 30, 34, 41}
+    assert ocrnoise.found_noise(lines.where("false")).count() == 0
+
+
+def test_paragraphs_go_on_over_pages(spark):
+    word = lambda t, left: (t, left, 500, 40, 20, 0.9)
+    rows = [(1, 1, 1, 1, 1000, 1000, [word("Первый", 140), word("протоко-", 200)]), (2, 1, 2, 1, 1000, 1000, [word("ле", 100), word("дня.", 150)]), (3, 1, 2, 2, 1000, 1000, [word("Второй", 140), word("абзац.", 200)]), (4, 1, 1, 2, 1000, 1000, [word("строка", 100), word("первого", 150)])]
+    rows[0], rows[3] = (1, 1, 1, 1, 1000, 1000, [word("Первый", 140), word("абзац", 200)]), (4, 1, 1, 2, 1000, 1000, [word("с", 100), word("протоко-", 150)])
+    lines = spark.createDataFrame(rows, "line_id long, scan_id long, page int, line_no int, page_width int, page_height int, words array<struct<text:string,left:int,top:int,width:int,height:int,confidence:double>>")
+    got = [(r.page, r.first_line, r.text) for r in ocrnoise.paragraphs(lines).orderBy("page", "first_line").collect()]
+    assert got == [(1, 1, "Первый абзац с протоколе дня."), (2, 2, "Второй абзац.")]
+
+
 @pytest.mark.parametrize("times", [1, 10])
 def test_misreadings_are_certain_at_every_size(spark, times):
     texts = ["Протокол 1."] * 16 * times + ["Протонол 10."] * times
