@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vedomost.llm.tokens import TOKENIZER_DIR, count_column
-from vedomost.session import cut_lineage
+from vedomost.session import cut_lineage, spread
 
 BLOCK_DOCS = 4_000
 EPS = 1e-9
@@ -66,7 +66,7 @@ def _null_vector(a: np.ndarray) -> np.ndarray:
 
 def landing(pi: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """The few fractions left become 0 or 1 so that the token total is as near as can be, then the number of documents."""
-    open_ = np.flatnonzero((pi > 0) & (pi < 1))[:16]
+    open_ = np.flatnonzero((pi > 0) & (pi < 1))  # the flight leaves as many as there are constraints at most
     want_t, want_n = (pi[open_] * tokens[open_]).sum(), pi[open_].sum()
     best = min(range(1 << len(open_)), key=lambda b: (abs(sum(tokens[i] for k, i in enumerate(open_) if b >> k & 1) - want_t), abs(bin(b).count("1") - want_n), b))
     out = np.round(pi)
@@ -125,12 +125,12 @@ def mix_documents(documents: DataFrame, targets: DataFrame, seed: int = 42, toke
     n_blocks, chosen = max(1, -(-most // block_docs)), None
     while True:
         last = n_blocks == 1
-        flown = cut_lineage(todo.groupBy("source", "block").applyInPandas(_fly(seed, last), "doc_id long, source string, tokens long, pi double, block long"))
+        flown = cut_lineage(spread(todo, "source", "block").groupBy("source", "block").applyInPandas(_fly(seed, last), "doc_id long, source string, tokens long, pi double, block long"))
         done = flown.where("pi = 1").select("doc_id")
         chosen = done if chosen is None else chosen.unionByName(done)
         if last:
             break
-        merged = block_docs // 4
+        merged = max(2, block_docs // 4)  # leftovers of so many blocks fit one block again
         todo = flown.where("pi > 0 AND pi < 1").withColumn("block", F.floor(F.col("block") / merged))
         n_blocks = -(-n_blocks // merged)
     picked = drawn.join(chosen.withColumn("extra", F.lit(1)), "doc_id", "left")

@@ -222,12 +222,23 @@ def parsed_names(names: DataFrame) -> DataFrame:
 def link_keys(keys: DataFrame) -> DataFrame:
     """Accepted pairs ``(a, b)`` of distinct keys ``(rep, cls, kind, number, key, given, patronymic, code)``.
 
-    Blocks are the codes with at most one letter left out; a block holds codes that differ in that letter only, so
-    its size is bounded by the alphabet times the code's length, whatever the number of spellings.
+    Blocks are the codes with at most one letter left out. Organisations and administrations of a block differ in that letter only.
+    Persons of one surname are as many as it has bearers, so their blocks are the code with the initial of the given name, and with that
+    of the patronymic, in which a wrong first letter of a given name is met; those without a given name, whom any bearer may be, are
+    met by all of their surname from one side only.
     """
 
     @F.pandas_udf("array<string>")
-    def blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def blocks(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for cls, code, given, patronymic in batches:
+            out = []
+            for k, c, g, p in zip(cls.array, code.array, given.array, patronymic.array):
+                ends = [f"|g{g[:1]}" if g else "", f"|p{p[:1]}" if g and p else ""] if k == "person" else ["|"]
+                out.append([d + e for d in deletes(c) for e in ends if e])
+            yield pd.Series(out, dtype="object")
+
+    @F.pandas_udf("array<string>")
+    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([deletes(c) for c in batch.array], dtype="object")
 
@@ -236,51 +247,63 @@ def link_keys(keys: DataFrame) -> DataFrame:
         for d in batches:
             yield pd.Series([same_party(*x[:5], x[5:7], x[7:9]) for x in zip(*(d[c].array for c in d.columns))], dtype="bool")
 
-    blocked = keys.where("code <> ''").withColumn("block", F.explode(blocks("code"))).withColumn("block", F.xxhash64("cls", "number", "block"))
-    a, b = blocked.alias("a"), blocked.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.cls") == F.col("b.cls")) & (F.col("a.number") == F.col("b.number")))
-    pairs = pairs.where("a.cls = 'organisation' OR a.kind = b.kind").select("a.rep", "a.cls", "a.kind", "a.key", "a.given", "a.patronymic", F.col("b.rep").alias("rep_b"), F.col("b.kind").alias("kind_b"), F.col("b.key").alias("key_b"), F.col("b.given").alias("given_b"), F.col("b.patronymic").alias("patronymic_b")).distinct()
-    return pairs.where(same(F.struct("cls", "kind", "kind_b", "key", "key_b", "given", "patronymic", "given_b", "patronymic_b"))).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+    fields = ["rep", "cls", "kind", "number", "key", "given", "patronymic"]
+    coded = keys.where("code <> ''")
+    blocked = coded.select(*fields, F.explode(blocks("cls", "code", "given", "patronymic")).alias("block")).withColumn("block", F.xxhash64("cls", "number", "block"))
+    people = coded.where("cls = 'person'").select(*fields, F.explode(codes("code")).alias("block")).withColumn("block", F.xxhash64("cls", "number", "block"))
+    other = lambda df: df.select(F.col("block"), *[F.col(c).alias(f"{c}_b") for c in fields])
+    met = blocked.join(other(blocked), "block").where("rep < rep_b AND cls = cls_b AND number = number_b")
+    nameless = people.where("given = ''").join(other(people), "block").where("rep <> rep_b AND number = number_b AND (given_b <> '' OR rep < rep_b)")
+    pairs = met.unionByName(nameless).where("cls = 'organisation' OR kind = kind_b").drop("block", "cls_b", "number", "number_b").distinct()
+    accepted = pairs.where(same(F.struct("cls", "kind", "kind_b", "key", "key_b", "given", "patronymic", "given_b", "patronymic_b")))
+    return accepted.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
 
 
 def sure_initials(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` without those of initials that fit two different persons of the surname."""
+    """``links`` without those of initials that fit two different persons of the surname.
+
+    The first and the last name in alphabetical order are looked at first: where they differ the persons do. Only where these two agree, as spellings
+    of one name do, the names between them are listed and compared.
+    """
     short = (F.col("cls") == "person") & ((F.length("given") <= 2) | (F.length("patronymic") <= 2))
     side = keys.select(F.col("rep"), short.alias("short"), "given", "patronymic")
     both = links.union(links.select("b", "a")).toDF("from", "to")
-    seen = both.join(side.select(F.col("rep").alias("from"), F.col("short").alias("from_short")), "from").join(side.select(F.col("rep").alias("to"), F.col("short").alias("to_short"), "given", "patronymic"), "to").where("from_short AND NOT to_short")
+    seen = both.join(side.where("short").select(F.col("rep").alias("from")), "from").join(side.where("NOT short").select(F.col("rep").alias("to"), F.concat_ws("|", "given", "patronymic").alias("name")), "to")
 
     @F.pandas_udf("boolean")
     def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([all(compatible_names(tuple(x.split("|")), tuple(y.split("|"))) for i, x in enumerate(v) for y in list(v)[:i]) for v in batch.array], dtype="bool")
 
-    unsure = seen.groupBy("from").agg(F.collect_set(F.concat_ws("|", "given", "patronymic")).alias("names")).where(F.size("names") > 1).where(~one("names")).select("from")
+    ends = cut_lineage(seen.groupBy("from").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least <> most").withColumn("alike", one(F.array("least", "most"))))
+    listed = seen.join(ends.where("alike").select("from"), "from", "left_semi").groupBy("from").agg(F.collect_set("name").alias("names"))
+    unsure = ends.where("NOT alike").select("from").unionByName(listed.where(F.size("names") > 2).where(~one("names")).select("from"))
     return links.join(unsure.select(F.col("from").alias("a")), "a", "left_anti").join(unsure.select(F.col("from").alias("b")), "b", "left_anti").select("a", "b")
 
 
-def connected_components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every id in ``links(a, b)``; the component is its least id.
 
-    Large-star and small-star rounds alternate until nothing changes; each round is cut to the
-    shared checkpoint folder, so a lost executor costs one round. Both stars group by node with ``min`` first, so a
-    node with very many links is no collected list.
+    Large-star and small-star rounds alternate until nothing changes, however long the chains; each round is cut to the
+    shared checkpoint folder, so a lost executor costs one round, and told from the last one by one count. Both stars group by node
+    with ``min`` first, so a node with very many links is no collected list.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(most_rounds):
+    now = state(edges)
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select("v", "m").toDF("u", "v").union(down.select("u", F.col("m").alias("v")))
-        now = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        n, changed = now.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.lit(0))).first(), edges.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        edges = now
-        if tuple(n) == tuple(changed):
-            break
-    else:
-        raise RuntimeError("connected components did not converge")
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
+        edges = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        before, now = now, state(edges)
+        if before == now:
+            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
 def cluster_parties(names: DataFrame) -> DataFrame:
@@ -297,6 +320,13 @@ def cluster_parties(names: DataFrame) -> DataFrame:
     return rep.join(components, rep["rep"] == components["id"], "left").select("name_id", F.coalesce("component", "rep").alias("cluster"))
 
 
+def link_counts(clusters: DataFrame) -> DataFrame:
+    """``(name_id, cluster, n_links)``: each spelling with how many others it is linked to, for clusters of any size."""
+    ids = clusters.distinct()
+    sizes = ids.groupBy("cluster").agg((F.count("*") - 1).alias("n_links"))
+    return ids.join(sizes, "cluster").select("name_id", "cluster", "n_links")
+
+
 def linked_pairs(clusters: DataFrame) -> DataFrame:
     """All pairs ``(name_id_a, name_id_b)`` of different ids in one cluster, a < b."""
     ids = clusters.distinct()

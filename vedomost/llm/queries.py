@@ -47,7 +47,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return party.cluster_parties(table(spark, d, "party_names"))
+    return party.link_counts(party.cluster_parties(table(spark, d, "party_names")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
