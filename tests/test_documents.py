@@ -150,7 +150,25 @@ def test_publication_is_all_or_nothing(spark, tmp_path):
     with pytest.raises(RuntimeError):
         publish.publish(reg, changed, target, expected="v-other")
     assert publish.current_version(target) == first and len([p for p in (tmp_path / "reg").iterdir() if p.is_dir()]) == 1
-    assert publish.final_state("v1", "a" * 64, True, {"conflicts": True, "new_rows": 2, "x": 1}, [], [], [{"type": "y"}])["summary"] == {"new_rows": 2}
+
+
+def test_final_state_holds_what_fits_its_schema():
+    edit = {"type": "manual_edit", "row": 4, "field": "f", "status": "edited"}
+    got = publish.final_state("v1", "a" * 64, True, warning=" a  b ", summary={"conflicts": True, "new_rows": 2, "x": 1, "row_numbers": [4, 5], "new_row_numbers": [4, True]}, proposals=[{"row": 4, "secret": 1, "field": ["x"]}, 7], actions=[edit, {"type": "y"}, edit | {"row": True}])
+    assert got["summary"] == {"new_rows": 2, "row_numbers": [4, 5]} and got["proposals"] == [{"row": 4}] and got["actions"] == [edit] and got["row_cards"] == [] and got["warning"] == "a b" and got["status"] == "done"
+    with pytest.raises(ValueError):
+        publish.final_state("v1", "short", True)
+
+
+def test_digests_of_inputs(tmp_path):
+    assert publish.input_digest("r", {"a": "1", "b": "2"}) == publish.input_digest("r", {"b": "2", "a": "1"}) != publish.input_digest("r", {"a": "2", "b": "1"})
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a").write_text("1")
+    first = publish.directory_digest(str(tmp_path))
+    (tmp_path / "x" / "b").symlink_to(tmp_path / "x" / "a")
+    assert publish.directory_digest(str(tmp_path)) == first
+    (tmp_path / "x" / "a").write_text("2")
+    assert publish.directory_digest(str(tmp_path)) != first
 
 
 def test_streamed_versions_equal_the_batch(spark, tmp_path):

@@ -73,7 +73,29 @@ def test_redaction_in_columns_and_trees_agrees(spark):
     assert one(spark, "/home/u/a.pdf", redact.redact_value) == "a.pdf"
     assert one(spark, "C:\\", redact.redact_value) == redact.PLACEHOLDER
     said = "cannot open '/a b/c.pdf' or \\\\srv\\share\\x.pdf"
-    assert one(spark, said, lambda c: redact.redact_value(c, True)) == redact.redact_string(said, "error")
+    assert one(spark, said, lambda c: redact.redact_value(c, True)) == "cannot open '[локальный путь]' or [локальный путь]" == redact.redact_tree(said, "Error")
     tree = {"text": "x", "/a/b": 1, "/c/b": 2, "n": [{"Token": 1, "path": "/a/b.pdf"}]}
     assert redact.redact_tree(tree) == {"b": 1, "b (3)": 2, "n": [{"path": "b.pdf"}]}
     assert one(spark, "{bad", redact.redact_json) is None
+
+
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ("see /home/u/a.pdf, then", "see #, then"),
+        ("see /home/my docs/old files/a.pdf now", "see # now"),
+        ("open C:\\Users\\Ivan Petrov\\a.pdf: denied", "open #: denied"),
+        ("a/b 1/2 https://x.y/z", "a/b 1/2 https:/#"),
+        ("at /tmp", "at #"),
+        ("lone / slash and C:\\", "lone / slash and C:\\"),
+        ('say "/a b/c" and "D:/x y.txt"', 'say "#" and "#"'),
+        ("\\\\srv\\share\\dir\\f.txt|x", "#|x"),
+        ("", ""),
+    ],
+)
+def test_paths_in_text(text, hidden):
+    assert redact.hide_paths(text) == hidden.replace("#", redact.PLACEHOLDER)
+
+
+def test_last_parts():
+    assert [redact.last_part(x) for x in ("/a/b.pdf", "/", "C:\\", "C:/x/y/", "\\\\srv\\share", "\\\\srv\\share\\f")] == ["b.pdf", redact.PLACEHOLDER, redact.PLACEHOLDER, "y", redact.PLACEHOLDER, "f"]
