@@ -86,6 +86,43 @@ def test_routing_reads_no_document_twice_and_skips_by_name(spark, tmp_path):
     assert out["разрешение.pdf"].route == "text_layer_then_raster"
 
 
+def test_images_are_read_page_by_page():
+    from vedomost.sources import raster
+
+    head = "\t".join(layout.TSV_COLUMNS)
+    tsv = lambda text: f"{head}\n1\t1\t0\t0\t0\t0\t0\t0\t1000\t1400\t-1\t\n5\t1\t1\t1\t1\t2\t200\t11\t50\t20\t90\tб\n5\tx\n5\t1\t1\t1\t1\t1\t100\t10\t50\t20\t91\t{text}\n"
+    pages = {1: tsv("а"), 2: head + "\n", 3: "просто текст", 4: tsv("г"), 5: tsv("д")}
+    drawn = []
+    read = raster.raster_reader(lambda pdf, page, dpi: drawn.append((page, dpi)) or str(page).encode(), lambda image: pages[int(image)], lambda pdf: 5)
+    got = read("x.pdf", 300, 4)
+    assert got.text == "а б\n\nпросто текст\nг б" and [x["page"] for x in got.lines] == [1, 4] and got.total_pages == 5 and sorted(drawn) == [(p, 300) for p in (1, 2, 3, 4)]
+    assert len(read("x.pdf", 300, 0).text.splitlines()) == 5
+
+    def broken(pdf, page, dpi):
+        raise RuntimeError("pdf_render_failed")
+
+    with pytest.raises(RuntimeError):
+        raster.raster_reader(broken, str, lambda pdf: 1)("x.pdf", 300, 0)
+
+
+def test_traces(spark):
+    from vedomost.schemas import TRACE
+
+    trace = lambda route, calls: (1, route, 180, 180, 5, 5, calls, calls > 0, "old", (1, 1, 1, 1, -4), 0, 0, 0)
+    df = spark.createDataFrame([(trace("text_layer", 0), trace("raster", 3)), (trace("raster", 2), trace("raster", 3))], f"a {TRACE}, b {TRACE}")
+    got = [r.t for r in df.select(routing.combined_trace(F.col("a"), F.col("b"), F.lit("identity_missing")).alias("t")).collect()]
+    assert [(g.route, g.tesseract_calls, g.ocr_calls, g.fallback_reason, g.timings_ms.page_count, g.timings_ms.total) for g in got] == [("text_layer_then_raster", 3, 3, "identity_missing", 2, 0), ("raster", 5, 5, "identity_missing", 2, 0)]
+    failed = df.select(routing.failure_trace(400, F.lit("boom"), F.lit(7)).alias("t")).first().t
+    assert (failed.route, failed.dpi, failed.pages, failed.fallback_reason, failed.timings_ms.total) == ("failed", 400, 0, "boom", 7)
+
+
+def test_only_the_last_finished_jobs_stay(spark):
+    from vedomost.operators.summary import keep_last
+
+    jobs = spark.createDataFrame([(i, "done", i, False) for i in range(5)] + [(9, "running", None, None), (8, "done", -1, True)], "job_id int, status string, finished_at int, in_flight boolean")
+    assert {r.job_id for r in keep_last(jobs, 2).collect()} == {3, 4, 8, 9}
+
+
 def test_candidates_all_or_nothing(spark):
     base = (N, *[None] * 10, "/p", "p", "content", {}, ["builder", "region"], None)
     schema = RECORD + f", mapping_candidates {mapping.CANDIDATES}, assignments {mapping.ASSIGNMENTS}"

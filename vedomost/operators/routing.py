@@ -85,7 +85,7 @@ def read_documents(paths: DataFrame, reader: Callable[[DataFrame], DataFrame], i
     j = first.join(second, "pdf", "left")
     better = F.col("_number").isNotNull()
     pick = lambda c: F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-    route = F.when(F.col("retried"), F.concat_ws("_then_", "source", F.coalesce("_source", F.lit("failed")))).otherwise(F.col("source"))
+    route = F.when(F.col("retried"), joined_route(F.col("source"), F.coalesce("_source", F.lit("failed")))).otherwise(F.col("source"))
     read = j.select("pdf", "filename", pick("text"), pick("lines"), pick("source"), pick("number"), "total_pages", "error", F.col("_error").alias("retry_error"), route.alias("route"), "is_permit", "is_other")
     skipped = skip.select("pdf", "filename", F.lit("preclassified_title").alias("route"), F.lit(False).alias("is_permit"), F.lit(True).alias("is_other"))
     return with_outcome(read.unionByName(skipped, allowMissingColumns=True))
@@ -122,26 +122,36 @@ def normal_trace(trace: Column) -> Column:
     )
 
 
-def combined_trace(first: Column, second: Column) -> Column:
-    """Two readings as one: routes joined, calls and times added, sizes of the second."""
+def joined_route(first: Column, second: Column) -> Column:
+    """The route of two readings; two of one kind are that kind."""
+    return F.when(first == second, first).otherwise(F.concat(first, F.lit("_then_"), second))
+
+
+def combined_trace(first: Column, second: Column, reason: Column) -> Column:
+    """Two readings as one: routes joined, calls and times added, sizes of the second; ``reason`` is why there was a second."""
     a, b = normal_trace(first), normal_trace(second)
-    times = F.struct(*[(a["timings_ms"][s] + b["timings_ms"][s]).alias(s) for s in ("page_count", "text_layer", "render", "tesseract", "total")])
-    calls = a["tesseract_calls"] + b["tesseract_calls"]
-    return F.struct(
-        F.lit(1).alias("ocr_trace_version"),
-        F.concat_ws("_then_", a["route"], b["route"]).alias("route"),
-        a["requested_dpi"].alias("requested_dpi"),
-        *[b[c].alias(c) for c in ("effective_dpi", "total_pages", "processed_pages")],
-        calls.alias("tesseract_calls"),
-        (a["tesseract_started"] | b["tesseract_started"]).alias("tesseract_started"),
-        F.coalesce(b["fallback_reason"], a["fallback_reason"]).alias("fallback_reason"),
-        times.alias("timings_ms"),
-        b["dpi"].alias("dpi"),
-        b["pages"].alias("pages"),
-        calls.alias("ocr_calls"),
+    summed = {s: (a["timings_ms"][s] + b["timings_ms"][s]).alias(s) for s in ("page_count", "text_layer", "render", "tesseract", "total")}
+    return normal_trace(
+        F.struct(
+            joined_route(a["route"], b["route"]).alias("route"),
+            a["requested_dpi"].alias("requested_dpi"),
+            *[b[c].alias(c) for c in ("effective_dpi", "total_pages", "processed_pages")],
+            (a["tesseract_calls"] + b["tesseract_calls"]).alias("tesseract_calls"),
+            (a["tesseract_started"] | b["tesseract_started"]).alias("tesseract_started"),
+            reason.alias("fallback_reason"),
+            F.struct(*summed.values()).alias("timings_ms"),
+        )
     )
 
 
+def failure_trace(dpi: int, reason: Column, elapsed_ms: Column) -> Column:
+    """The trace of a reading that failed: no progress is claimed, the whole time is."""
+    none = {c: F.lit(0).alias(c) for c in ("total_pages", "processed_pages", "tesseract_calls")}
+    times = F.struct(*[(elapsed_ms if s == "total" else F.lit(0)).alias(s) for s in ("page_count", "text_layer", "render", "tesseract", "total")])
+    sizes = [F.lit(dpi).alias("requested_dpi"), F.lit(dpi).alias("effective_dpi"), *none.values()]
+    return normal_trace(F.struct(F.lit("failed").alias("route"), *sizes, F.lit(False).alias("tesseract_started"), reason.alias("fallback_reason"), times.alias("timings_ms")))
+
+
 def error_hint(error: Column) -> Column:
     """struct(message, hint) for a technical error code."""
     # Codes and what they say.

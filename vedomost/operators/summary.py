@@ -148,9 +148,8 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: str) ->
 
 def keep_last(jobs: DataFrame, n: int = 20) -> DataFrame:
     """The last ``n`` finished jobs by ``finished_at`` and every job that is not finished or has an action in flight."""
-    done = F.col("status").isin("done", "error") & ~F.coalesce("in_flight", F.lit(False))
-    place = F.row_number().over(Window.partitionBy(done).orderBy(F.col("finished_at").desc(), F.col("job_id").desc()))
-    return jobs.withColumn("_k", place).where(~done | (F.col("_k") <= n)).drop("_k")
+    done = F.coalesce(F.col("status").isin("done", "error") & ~F.coalesce("in_flight", F.lit(False)), F.lit(False))
+    return jobs.where(~done).unionByName(jobs.where(done).orderBy(F.col("finished_at").desc(), F.col("job_id").desc()).limit(n))
 
 
 def failure_message(failures: Column, shown: int = 3) -> Column:

@@ -1,6 +1,6 @@
 """Versions that arrive as a stream, merged as they come. Beyond the batch engine's reference behaviour.
 
-Each micro-batch appends its versions to a table partitioned by a hash of the permit number and merges only the
+Each micro-batch appends its versions to a table partitioned by a hash of the permit number, reads back the buckets it touched and merges only the
 permits it touched, so the state is a plain table that survives any loss, and the result equals the batch merge.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vedomost.operators.merge import merge_versions
 
@@ -24,11 +25,12 @@ def merge_stream(versions: DataFrame, state: str, output: str, checkpoint: str,
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumns({"bucket": F.pmod(F.xxhash64("number"), F.lit(BUCKETS)).cast("int")})
-        new.write.mode("overwrite").parquet(f"{state}/batch={batch_id}/")
-        touched = new.select("number").distinct()
-        seen = spark.read.option("basePath", state).parquet(state).where(F.col("batch") <= batch_id)
-        merged = merge_versions(seen.drop("batch", "bucket").join(touched, "number", "left_semi"))
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(BUCKETS)).cast("int"))
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/batch={batch_id}/")
+        mine = spark.read.schema(new.schema).option("basePath", state).parquet(f"{state}/batch={batch_id}/")
+        buckets = [r[0] for r in mine.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        seen = spark.read.schema(StructType([*new.schema.fields, StructField("batch", LongType())])).option("basePath", state).parquet(state).where((F.col("batch") <= batch_id) & F.col("bucket").isin(buckets))
+        merged = merge_versions(seen.drop("batch", "bucket").join(mine.select("number").distinct(), "number", "left_semi"))
         merged.write.mode("overwrite").parquet(f"{output}/batch={batch_id}/")
 
     writer = versions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
