@@ -114,11 +114,14 @@ def resolve_fields(records: DataFrame, group: str, row_id: str, order: str, fiel
     width = half * SPAN
     trusted = (F.col("trust") > 0) & F.col("norm").isNotNull()
     bucket = F.floor(F.col("_at") / F.lit(width)) if width >= 1 << 52 else (F.col("_at") - F.pmod("_at", F.lit(width))) / F.lit(width)
-    long = _long(records, group, row_id, order, fields).withColumn("bucket", F.when(trusted, bucket.cast("long")))
+    names = [i for i, r in enumerate(fields.values()) if r.kind == "name"]
+    # a name that is not trusted can still show another one to be cut off; other cells without a vote say nothing
+    telling = F.col("norm").isNotNull() & ((F.col("trust") > 0) | F.col("place").isin(*names))
+    long = _long(records, group, row_id, order, fields).where(telling).withColumn("bucket", F.when(trusted, bucket.cast("long")))
     weight = F.col("trust") * F.pow(F.lit(2.0), F.pmod("_at", F.lit(width)) / F.lit(float(half)))
     key = F.col("_at").cast("decimal(17,0)") * F.lit(_ROW_DIGITS) + F.col("_row").cast("decimal(19,0)")
     parts = long.groupBy("_group", "place", "norm", "bucket").agg(
-        F.sum(F.when(trusted, weight)).alias("s"), F.max(F.when(trusted, key.cast("decimal(38,0)"))).alias("last"), F.min("_row").alias("row_min"), F.max("_row").alias("row_max")
+        F.sum(F.when(trusted, weight)).alias("s"), F.max(F.when(trusted, key.cast("decimal(38,0)"))).alias("last")
     )
     even, odd = F.pmod("bucket", F.lit(2)) == 0, F.pmod("bucket", F.lit(2)) == 1
     votes = parts.groupBy("_group", "place", "norm").agg(
@@ -127,11 +130,8 @@ def resolve_fields(records: DataFrame, group: str, row_id: str, order: str, fiel
         F.max(F.when(odd, F.col("bucket"))).alias("o"),
         F.max_by("s", F.when(odd, F.col("bucket"))).alias("so"),
         F.max("last").alias("last"),
-        F.min("row_min").alias("row_min"),
-        F.max("row_max").alias("row_max"),
     )
-    votes = votes.select("_group", "place", "norm", _log_votes((F.col("e"), F.col("se")), (F.col("o"), F.col("so"))).alias("votes"), "last", "row_min", "row_max")
-    names = [i for i, r in enumerate(fields.values()) if r.kind == "name"]
+    votes = votes.select("_group", "place", "norm", _log_votes((F.col("e"), F.col("se")), (F.col("o"), F.col("so"))).alias("votes"), "last")
     if names:
         start = F.substring("norm", 1, LEAST_NAME)
         after = F.lead("norm").over(Window.partitionBy("_group", "place", start).orderBy("norm"))
@@ -142,12 +142,12 @@ def resolve_fields(records: DataFrame, group: str, row_id: str, order: str, fiel
         votes = votes.withColumn("cut", F.lit(False))
     usable = ~F.col("cut") & F.col("last").isNotNull()
     score = F.struct("votes", "last")
-    won = votes.groupBy("_group").agg(
-        (F.min("row_min") != F.max("row_max")).alias("_n_rows_differ"), *[F.max(F.when(usable & (F.col("place") == i), score)).alias(n) for i, n in enumerate(fields)]
-    )
+    won = votes.where(usable).groupBy("_group").agg(*[F.max(F.when(F.col("place") == i, score)).alias(n) for i, n in enumerate(fields)])
+    groups = records.groupBy(F.col(group).alias("_all")).agg((F.min(row_id) != F.max(row_id)).alias("_n_rows_differ"))
+    won = groups.join(won, F.col("_all").eqNullSafe(F.col("_group")), "left")
     row = lambda n: F.pmod(F.col(f"{n}.last"), F.lit(_ROW_DIGITS)).cast("long")
     cells = [F.when(F.col(n).isNotNull(), F.struct(row(n).alias("row_id"), F.col(f"{n}.votes").alias("votes"))).alias(n) for n in fields]
-    return won.select(F.col("_group").alias(group), "_n_rows_differ", *cells)
+    return won.select(F.col("_all").alias(group), "_n_rows_differ", *cells)
 
 
 def _permit_rules() -> dict[str, FieldRule]:
