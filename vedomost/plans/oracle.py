@@ -186,9 +186,11 @@ def oracle_sql() -> dict[str, str]:
         SELECT row_no, reg_id, nullif(number, '') AS number, {', '.join(f'coalesce(c_{f}, w_{f}) AS {name(f)}' for f in TRANSFER_FIELDS)} FROM (SELECT cells.*, register_rows.number, {', '.join(f'w_{f}' for f in TRANSFER_FIELDS)} FROM cells JOIN register_rows USING (row_no) LEFT JOIN (SELECT * EXCLUDE (number) FROM w WHERE row_no IS NOT NULL) AS hit USING (row_no))
         UNION ALL SELECT (last_row + place)::INT, (last_id + place)::BIGINT, n.number, {', '.join(f'w_{f}' for f in TRANSFER_FIELDS)} FROM numbered n JOIN w ON n.number = w.number CROSS JOIN {_last()}""",
         "new_row_ids": f"{r}, numbered AS ({_numbered()}) SELECT number, (last_row + place)::INT AS row_no, (last_id + place)::BIGINT AS reg_id FROM numbered CROSS JOIN {_last()}",
-        "cell_diff": f"{r} SELECT field, count(*) AS n_changed, 0::BIGINT AS n_overwritten FROM (SELECT field FROM f WHERE action = 'write' UNION ALL SELECT 'number' FROM changes WHERE new) GROUP BY field",
-        "publication_check": "SELECT NULL::VARCHAR AS rule, NULL::INT AS row_no, NULL::VARCHAR AS field WHERE FALSE",
+        "cell_diff": f"{r} SELECT field, count(*) AS n_changed, count(existing) AS n_overwritten FROM (SELECT field, existing FROM f WHERE action = 'write' UNION ALL SELECT 'number', NULL FROM changes WHERE new) GROUP BY field",
+        "publication_check": f"{r} SELECT 'filled_cell_changed' AS rule, row_no, field FROM f WHERE action = 'write' AND existing IS NOT NULL UNION ALL SELECT 'present_row_changed', f.row_no, field FROM f JOIN changes c ON f.number = c.number WHERE action = 'write' AND outcome = 'already_present'",
         "row_cards": f"{r} SELECT c.number, c.row_no, outcome, outcome IN ('review', 'review_conflict') AS needs_review, coalesce(c.row_no >= 4, FALSE) AND (new OR outcome IN ('review', 'review_conflict')) AS editable, coalesce(won_changed.file, won_end.file, base_file) AS filename FROM changes c JOIN m ON c.number = m.number",
+        "doc_title": r"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_matches(x, '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) AS l FROM documents)
+        SELECT doc_id, substring(array_to_string(l[1:3], chr(10)), 1, 600) AS title FROM l""",
         "document_dates": r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(\d{2}\.\d{2}\.20\d{2})', 1) AS d FROM documents), v AS (SELECT doc_id, d, list_filter(d, lambda x: try_strptime(x, '%d.%m.%Y') IS NOT NULL) AS ok FROM t)
         SELECT doc_id, len(ok)::BIGINT AS n_valid, len(ok) < len(d) AS any_invalid, strftime(list_max(list_transform(ok, lambda x: try_strptime(x, '%d.%m.%Y'))), '%d.%m.%Y') AS latest FROM v""",
         "add_months": f"SELECT DISTINCT rec_id, strftime({day('issue')} + INTERVAL 13 MONTH, '%d.%m.%Y') AS later FROM rns_records WHERE {day('issue')} IS NOT NULL",
